@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .simhash_dedup import op3_simhash_dedup
+from .sorted_tables import op9_sorted_tables
 from .virtual_slots import op10_virtual_slots
 from .water_filling import op6_water_filling
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_water_filling": op6_water_filling,
+    "op9_sorted_tables": op9_sorted_tables,
     "op10_virtual_slots": op10_virtual_slots,
 }
 
