@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality_rules import op5_quality_rules
 from .simhash_dedup import op3_simhash_dedup
 from .sorted_tables import op9_sorted_tables
 from .virtual_slots import op10_virtual_slots
@@ -9,6 +10,7 @@ from .water_filling import op6_water_filling
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_water_filling": op6_water_filling,
     "op9_sorted_tables": op9_sorted_tables,
     "op10_virtual_slots": op10_virtual_slots,
