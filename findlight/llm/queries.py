@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .lattice_lm import op4_lattice_lm
 from .quality_rules import op5_quality_rules
 from .simhash_dedup import op3_simhash_dedup
 from .sorted_tables import op9_sorted_tables
@@ -10,6 +11,7 @@ from .water_filling import op6_water_filling
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_lattice_lm": op4_lattice_lm,
     "op5_quality_rules": op5_quality_rules,
     "op6_water_filling": op6_water_filling,
     "op9_sorted_tables": op9_sorted_tables,
