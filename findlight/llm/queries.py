@@ -6,6 +6,7 @@ from .lattice_lm import op4_lattice_lm
 from .quality_rules import op5_quality_rules
 from .simhash_dedup import op3_simhash_dedup
 from .sorted_tables import op9_sorted_tables
+from .template_decontam import op8_template_decontam
 from .virtual_slots import op10_virtual_slots
 from .water_filling import op6_water_filling
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_lattice_lm": op4_lattice_lm,
     "op5_quality_rules": op5_quality_rules,
     "op6_water_filling": op6_water_filling,
+    "op8_template_decontam": op8_template_decontam,
     "op9_sorted_tables": op9_sorted_tables,
     "op10_virtual_slots": op10_virtual_slots,
 }
