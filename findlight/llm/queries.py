@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_tokens import op7_chat_tokens
 from .lattice_lm import op4_lattice_lm
 from .quality_rules import op5_quality_rules
 from .simhash_dedup import op3_simhash_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_lattice_lm": op4_lattice_lm,
     "op5_quality_rules": op5_quality_rules,
     "op6_water_filling": op6_water_filling,
+    "op7_chat_tokens": op7_chat_tokens,
     "op8_template_decontam": op8_template_decontam,
     "op9_sorted_tables": op9_sorted_tables,
     "op10_virtual_slots": op10_virtual_slots,
