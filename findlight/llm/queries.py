@@ -5,13 +5,17 @@ from __future__ import annotations
 from .chat_tokens import op7_chat_tokens
 from .lattice_lm import op4_lattice_lm
 from .quality_rules import op5_quality_rules
+from .secret_forest import op1_secret_forest
 from .simhash_dedup import op3_simhash_dedup
 from .sorted_tables import op9_sorted_tables
 from .template_decontam import op8_template_decontam
+from .token_counts import op2_token_counts
 from .virtual_slots import op10_virtual_slots
 from .water_filling import op6_water_filling
 
 QUERIES = {
+    "op1_secret_forest": op1_secret_forest,
+    "op2_token_counts": op2_token_counts,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_quality_rules": op5_quality_rules,
