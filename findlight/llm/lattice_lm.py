@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,20 +32,30 @@ class Pieces:
     piece: Mapping[str, float]
     byte: tuple[float, ...]
     end: float
-    longest: int
+
+    @cached_property
+    def begun(self) -> dict[str, float | None]:
+        """Every beginning of a piece: its log probability if it is a piece itself, else None."""
+        out: dict[str, float | None] = {p[:k]: None for p in self.piece for k in range(1, len(p))}
+        return out | dict(self.piece)
 
     def edges(self, word: str) -> tuple[int, list[tuple[int, int, str, float]]]:
-        """The length of the marked word and its lattice (from, to, piece, log probability), by ``to``."""
-        s, piece, longest = START + word, self.piece, self.longest
-        out = []
-        for j in range(1, len(s) + 1):
-            for i in range(max(0, j - longest), j):
-                p = piece.get(s[i:j])
+        """The length of the marked word and its lattice (from, to, piece, log probability), by ``from``."""
+        s, begun = START + word, self.begun
+        n, out = len(s), []
+        for i in range(n):
+            single = False
+            for j in range(i + 1, n + 1):
+                part = s[i:j]
+                if part not in begun:
+                    break
+                p = begun[part]
                 if p is not None:
-                    out.append((i, j, s[i:j], p))
-                elif i == j - 1:
-                    out.append((i, j, "", sum(self.byte[b] for b in s[i].encode("utf-8", "surrogatepass"))))
-        return len(s), out
+                    out.append((i, j, part, p))
+                    single = single or j == i + 1
+            if not single:
+                out.append((i, i + 1, "", sum(self.byte[b] for b in s[i].encode("utf-8", "surrogatepass"))))
+        return n, out
 
     def log_probability(self, word: str) -> float:
         """The forward recursion in log space: the log of the sum, over all segmentations, of the products of piece probabilities."""
@@ -106,7 +117,7 @@ def vocabulary(path: str) -> tuple[dict[str, float], list[float]]:
 def _model(piece: Mapping[str, float], byte: list[float], ends: float) -> Pieces:
     """Pieces of these weights; the end has the weight ``ends`` and half a count."""
     total = sum(piece.values()) + sum(byte) + ends + 0.5
-    return Pieces({p: math.log(w / total) for p, w in piece.items() if w > 0}, tuple(math.log(w / total) for w in byte), math.log((ends + 0.5) / total), max(map(len, piece), default=1))
+    return Pieces({p: math.log(w / total) for p, w in piece.items() if w > 0}, tuple(math.log(w / total) for w in byte), math.log((ends + 0.5) / total))
 
 
 def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS, prior: float = PRIOR_PIECES) -> Pieces:
