@@ -59,7 +59,11 @@ def cjk(c: Column) -> Column:
 
 def grams(c: Column, least: int, most: int) -> Column:
     """All substrings of ``least`` to ``most`` characters, by length, then place."""
-    sizes = [F.when(F.length(c) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i, n=n: F.substring(c, i, F.lit(n)))) for n in range(least, most + 1)]
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(c) - (n - 1))
+        return F.when(F.length(c) < n, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
+
+    sizes = [of_size(n) for n in range(least, most + 1)]
     return F.flatten(F.array(*sizes))
 
 

@@ -190,8 +190,8 @@ class _Compiler:
             s = self._searchable(f)
             if s is not None:
                 return reduce(lambda a, b: a & b, [sure(F.contains(s, F.lit(g))) for g in top])
-            return reduce(lambda a, b: a & b, [sure(F.exists(self._tokens(f), lambda x, g=g: F.contains(x, F.lit(g)))) for g in top])
-        return reduce(lambda a, b: a & b, [self._any_value(f, lambda c, g=g: F.contains(c, F.lit(g))) for g in top])
+            return reduce(lambda a, b: a & b, [sure(F.exists(self._tokens(f), _holds(g))) for g in top])
+        return reduce(lambda a, b: a & b, [self._any_value(f, _holds(g)) for g in top])
 
     def _fuzzy(self, t: q.Fuzzy):
         f = self.schema.get(t.field)
@@ -226,7 +226,8 @@ class _Compiler:
 
         def lit(x: float) -> Column:
             if f.kind == "time":
-                return F.timestamp_micros(F.lit(round(x * 1e6)))
+                at = F.timestamp_micros(F.lit(round(x * 1e6)))
+                return F.lit(datetime.fromtimestamp(x, UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz") if f.wall else at
             return F.lit(int(x)) if f.kind == "int" and x == int(x) and abs(x) < 2**53 else F.lit(x)
 
         tests = []
@@ -288,7 +289,7 @@ class _Compiler:
             if f.numbers:
                 tests.append(self._range(q.Range(name, gte=v, lte=v)) if moment(v) is not None else F.lit(False))
             else:
-                tests.append(self._any_value(f, lambda c, f=f, v=v: c == self._literal(f, v)))
+                tests.append(self._any_value(f, _equals(self._literal(f, v))))
         return reduce(lambda a, b: a & b, tests)
 
     def _tuplelookup(self, t: q.TupleLookup):
@@ -371,6 +372,14 @@ class _Compiler:
         raise TypeError("a vector query inside others is resolved by search(), which knows the rows")
 
 
+def _holds(part: str):
+    return lambda c: F.contains(c, F.lit(part))
+
+
+def _equals(literal: str):
+    return lambda c: c == literal
+
+
 def _any(tests: list[Column]):
     return reduce(lambda a, b: a | b, tests) if tests else NONE
 

@@ -43,6 +43,7 @@ class Field:
     normalizer: str | None = ""
     column: str | None = None
     multi: bool = False
+    wall: bool = False
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -120,8 +121,8 @@ def of_frame(df: DataFrame, id: str, text: tuple[str, ...] = (), seq: str | None
             made.append(Field(c.name, "int", sortable=True, facetable=True))
         elif isinstance(t, T.NumericType):
             made.append(Field(c.name, "float", sortable=True))
-        elif isinstance(t, T.TimestampType | T.DateType):
-            made.append(Field(c.name, "time", sortable=True))
+        elif isinstance(t, T.TimestampType | T.TimestampNTZType | T.DateType):
+            made.append(Field(c.name, "time", sortable=True, wall=isinstance(t, T.TimestampNTZType)))
         elif isinstance(t, T.ArrayType):
             made.append(Field(c.name, "vector"))
     return Schema(tuple(made), id, seq)

@@ -79,8 +79,8 @@ def of_type(name: str, kind: T.DataType, values: list) -> Field:
         return Field(name, "int", sortable=True)
     if isinstance(kind, T.NumericType):
         return Field(name, "float", sortable=True)
-    if isinstance(kind, T.TimestampType | T.DateType):
-        return Field(name, "time", sortable=True)
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+        return Field(name, "time", sortable=True, wall=isinstance(kind, T.TimestampNTZType))
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
         sized = next((len(v) for v in values if v), None)
         return Field(name, "vector", dim=sized)
