@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 # Normalisers by what a field's name contains, first match first.
 BY_NAME = (("email", ("email",)), ("phone", ("phone", "mobile")), ("domain", ("domain", "host")), ("url", ("url", "uri")), ("ip", ("ip",)))
-_EDGE = r"(?U)^\s+|\s+$"
+#: Unicode white space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def detect(field_name: str) -> str | None:
@@ -21,7 +22,7 @@ def detect(field_name: str) -> str | None:
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, _EDGE, "")
+    return F.trim(c, F.lit(_WHITE))
 
 
 def plain(c: Column, lower: bool = True) -> Column:

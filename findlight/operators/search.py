@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.normalize import value as norm_value
 from ..plans import query as q
-from ..plans.compiler import compile_query
+from ..plans.compiler import compile_filter
 from ..plans.schema import Schema
 from . import mutations, ranking, vector
 
@@ -92,7 +92,7 @@ class Collection:
         """All live rows that match."""
         tree, rows = self._resolve(tree)
         schema = self.schema.replacing(*_marked_fields(tree)) if tree is not None else self.schema
-        return rows.filter(compile_query(_unmark(tree), schema)).select(*self.live.columns)
+        return rows.filter(compile_filter(_unmark(tree), schema)).select(*self.live.columns)
 
     def nearest(self, v: q.Vector, limit: int | None = None, offset: int = 0) -> DataFrame:
         f = self.schema.need(v.field)
@@ -112,7 +112,7 @@ class Collection:
             return Result(self._project(hits, request), lambda: self.nearest(tree).count())
         words = q.words_in(tree)
         if words and not request.sort and not request.facets:
-            scored = ranking.bm25(self.live, s, words.words, compile_query(tree, s), words.fuzzy)
+            scored = ranking.bm25(self.live, s, words.words, compile_filter(tree, s), words.fuzzy)
             ranked = scored.orderBy(F.col("score").desc(), order)
         else:
             found = self.matching(tree)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +42,21 @@ def with_signature(df: DataFrame, vector_col: str, dim: int, bits: int = 12, see
     return df.filter(vectors.valid(F.col(vector_col), dim)).withColumn(name, signature(F.col(vector_col), dim, bits, seed))
 
 
-def approximate_top_k(indexed: DataFrame, vector_col: str, vector: Sequence[float], k: int = 10, metric: str = "cosine", bits: int = 12, flips: int = 3, seed: int = 11, bucket: str = "bucket", where: Column | None = None, tie: str = "id") -> DataFrame:
-    """Exact ranking within the query's bucket and those that differ from it in up to ``flips`` bits; if they hold fewer than ``k`` rows that pass, all rows are ranked."""
-    own = 0
-    for b, plane in enumerate(planes(len(vector), bits, seed)):
-        own |= (sum(x * y for x, y in zip(vector, plane, strict=True)) >= 0) << b
-    probes = [own ^ sum(1 << b for b in chosen) for n in range(flips + 1) for chosen in combinations(range(bits), n)]
-    near = indexed.filter(F.col(bucket).isin(probes))
+def probes(vector: Sequence[float], bits: int, seed: int, fraction: float) -> list[int]:
+    """The nearest ``fraction`` of all buckets: by the squared distances of the query from the planes at which they differ."""
+    length = sum(x * x for x in vector) ** 0.5 or 1.0
+    margins = [sum(x * y for x, y in zip(vector, plane, strict=True)) / length for plane in planes(len(vector), bits, seed)]
+    cost = [(sum(m * m for b, m in enumerate(margins) if (bucket >> b & 1) != (m >= 0)), bucket) for bucket in range(1 << bits)]
+    return [bucket for _, bucket in sorted(cost)[: max(1, round(fraction * len(cost)))]]
+
+
+def approximate_top_k(indexed: DataFrame, vector_col: str, vector: Sequence[float], k: int = 10, metric: str = "cosine", bits: int = 12, fraction: float = 0.8, seed: int = 11, bucket: str = "bucket", where: Column | None = None, tie: str = "id") -> DataFrame:
+    """Exact ranking within the nearest ``fraction`` of the buckets; if they hold fewer than ``k`` rows that pass, all rows are ranked.
+
+    On clustered vectors a small fraction will do. The default finds nine in ten of the true neighbours even
+    of vectors without any structure, where no index can skip much.
+    """
+    near = indexed.filter(F.col(bucket).isin(probes(vector, bits, seed, fraction)))
     near = near if where is None else near.filter(where)
     if near.limit(k).count() < k:
         return top_k(indexed, vector_col, vector, k, metric, where, tie)

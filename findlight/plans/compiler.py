@@ -23,10 +23,15 @@ GAP = " \n "
 
 
 def compile_query(tree: q.Query | None, schema: Schema) -> Column:
-    """``tree`` over the columns of ``schema``'s fields. Parts of a conjunction stand in the order of their cost, as they are tried from the left."""
+    """``tree`` over the columns of ``schema``'s fields, never null. Parts of a conjunction stand in the order of their cost, as they are tried from the left."""
     return _Compiler(schema).of(tree or q.MatchAll())
 
 
+def compile_filter(tree: q.Query | None, schema: Schema) -> Column:
+    """As ``compile_query``, but may be null where it is false: as a filter it means the same, and comparisons of bare columns reach the scan."""
+    return _Compiler(schema, strict=False).of(tree or q.MatchAll())
+
+
 def cost(tree: q.Query) -> int:
     """Dearest leaf: equality 0, range 1, prefix 2, search in a string 3, edit distance 4, arrays 5."""
     parts = getattr(tree, "parts", None) or [p for n in ("must", "should", "filter", "must_not") for p in getattr(tree, n, ())] or ([tree.part] if hasattr(tree, "part") else [])
@@ -61,8 +66,15 @@ def moment(v: object) -> float | None:
 
 
 class _Compiler:
-    def __init__(self, schema: Schema):
-        self.schema = schema
+    def __init__(self, schema: Schema, strict: bool = True):
+        self.schema, self.strict = schema, strict
+
+    def sure(self, c: Column) -> Column:
+        return sure(c) if self.strict else c
+
+    def definite(self) -> _Compiler:
+        """What stands under a negation, or is counted, must not be null."""
+        return self if self.strict else _Compiler(self.schema)
 
     def of(self, tree: q.Query) -> Column:
         made = getattr(self, f"_{type(tree).__name__.lower()}", None)
@@ -82,8 +94,8 @@ class _Compiler:
     def _any_value(self, f: Field, test) -> Column:
         """Whether a whole value passes."""
         if f.multi:
-            return sure(F.exists(self._col(f), lambda v: test(self._value(f, v))))
-        return sure(test(self._value(f, self._col(f))))
+            return self.sure(F.exists(self._col(f), lambda v: test(self._value(f, v))))
+        return self.sure(test(F.col(f.norm) if f.norm else self._value(f, self._col(f))))
 
     def _text(self, f: Field) -> Column:
         c = self._col(f)
@@ -106,10 +118,10 @@ class _Compiler:
             if not re.fullmatch(r"[\w\-@.]+", literal):
                 return F.lit(False)
             pattern = (_EDGE_L if left else "") + _quote(literal) + (_EDGE_R if right else "")
-            return sure(F.contains(s, F.lit(literal)) & s.rlike(pattern))
+            return self.sure(F.contains(s, F.lit(literal)) & s.rlike(pattern))
         if left and right:
-            return sure(F.array_contains(self._tokens(f), literal))
-        return sure(F.exists(self._tokens(f), lambda t: t.startswith(literal) if left else t.endswith(literal)))
+            return self.sure(F.array_contains(self._tokens(f), literal))
+        return self.sure(F.exists(self._tokens(f), lambda t: t.startswith(literal) if left else t.endswith(literal)))
 
     def _literal(self, f: Field, v: object) -> str:
         return normalize.literal(v, f.normalizer, f.lowercase)
@@ -130,7 +142,7 @@ class _Compiler:
         if not v:
             return NONE
         if f.kind == "bool":
-            return sure(self._col(f) == F.lit(v == "true")) if v in ("true", "false") else NONE
+            return self.sure(self._col(f) == F.lit(v == "true")) if v in ("true", "false") else NONE
         tests = []
         if f.kind == "keyword" or f.lookup:
             tests.append(self._any_value(f, lambda c: c == v))
@@ -189,8 +201,8 @@ class _Compiler:
                 return NONE
             s = self._searchable(f)
             if s is not None:
-                return reduce(lambda a, b: a & b, [sure(F.contains(s, F.lit(g))) for g in top])
-            return reduce(lambda a, b: a & b, [sure(F.exists(self._tokens(f), _holds(g))) for g in top])
+                return reduce(lambda a, b: a & b, [self.sure(F.contains(s, F.lit(g))) for g in top])
+            return reduce(lambda a, b: a & b, [self.sure(F.exists(self._tokens(f), _holds(g))) for g in top])
         return reduce(lambda a, b: a & b, [self._any_value(f, _holds(g)) for g in top])
 
     def _fuzzy(self, t: q.Fuzzy):
@@ -206,7 +218,7 @@ class _Compiler:
 
         tests = [self._any_value(f, near)] if f.kind == "keyword" else []
         if f.words:
-            tests.append(sure(F.exists(self._tokens(f), near)))
+            tests.append(self.sure(F.exists(self._tokens(f), near)))
         return _any(tests)
 
     def _exists(self, t: q.Exists):
@@ -235,7 +247,7 @@ class _Compiler:
             tests.append(c > lit(low[0]) if low[1] else c >= lit(low[0]))
         if high[0] is not None:
             tests.append(c < lit(high[0]) if high[1] else c <= lit(high[0]))
-        return sure(reduce(lambda a, b: a & b, tests)) if tests else c.isNotNull()
+        return self.sure(reduce(lambda a, b: a & b, tests)) if tests else c.isNotNull()
 
     def _cidr(self, t: q.Cidr):
         f = self.schema.get(t.field)
@@ -246,7 +258,7 @@ class _Compiler:
         except ValueError:
             return NONE
         c = F.get(self._col(f), F.lit(0)) if f.multi else self._col(f)
-        return sure(normalize.ipv4(c.cast("string")).between(int(net.network_address), int(net.broadcast_address)))
+        return self.sure(normalize.ipv4(c.cast("string")).between(int(net.network_address), int(net.broadcast_address)))
 
     def _domainwildcard(self, t: q.DomainWildcard):
         f = self.schema.get(t.field)
@@ -256,7 +268,7 @@ class _Compiler:
         if not d:
             return NONE
         test = lambda c: (normalize.domain(c) == d) | normalize.domain(c).endswith("." + d)
-        return sure(F.exists(self._col(f), test)) if f.multi else sure(test(self._col(f).cast("string")))
+        return self.sure(F.exists(self._col(f), test)) if f.multi else self.sure(test(self._col(f).cast("string")))
 
     def _whole(self, t: q.Whole):
         f = self.schema.get(t.field)
@@ -312,7 +324,7 @@ class _Compiler:
         if len(terms) == 1:
             return self._any_token(f, terms[0], True, True)
         if f.multi:
-            return sure(F.exists(self._col(f), lambda v: self._in_order(f, v, terms, slop)))
+            return self.sure(F.exists(self._col(f), lambda v: self._in_order(f, v, terms, slop)))
         return self._in_order(f, self._col(f).cast("string"), terms, slop)
 
     def _in_order(self, f: Field, text: Column, terms: list[str], slop: int) -> Column:
@@ -321,15 +333,15 @@ class _Compiler:
         if slop <= 0 and plain:
             s = F.lower(text) if f.lowercase else text
             have = reduce(lambda a, b: a & b, [F.contains(s, F.lit(x)) for x in terms])
-            return sure(have & s.rlike(_EDGE_L + f"[^{TOKEN_CLASS}]+".join(map(_quote, terms)) + _EDGE_R))
+            return self.sure(have & s.rlike(_EDGE_L + f"[^{TOKEN_CLASS}]+".join(map(_quote, terms)) + _EDGE_R))
         name = f.analyzer if f.lowercase or f.analyzer != "standard" else "cased"
         joined = F.array_join(self.schema.analyzers.tokens(text, name), " ")
         if slop <= 0:
-            return sure(F.contains(F.concat(F.lit(" "), joined, F.lit(" ")), F.lit(f" {' '.join(terms)} ")))
+            return self.sure(F.contains(F.concat(F.lit(" "), joined, F.lit(" ")), F.lit(f" {' '.join(terms)} ")))
         # From each start the next term is taken where it is nearest, for good: lazy repeats inside atomic groups.
         rest = " ".join(rf"(?>(?:[^ ]+ ){{0,{slop}}}?{_quote(x)}(?![^ ]))" for x in terms[1:])
         have = reduce(lambda a, b: a & b, [F.contains(joined, F.lit(x)) for x in terms])
-        return sure(have & joined.rlike(rf"(?<![^ ]){_quote(terms[0])} {rest}"))
+        return self.sure(have & joined.rlike(rf"(?<![^ ]){_quote(terms[0])} {rest}"))
 
     def _proximity(self, t: q.Proximity):
         f = self.schema.get(t.field)
@@ -343,7 +355,7 @@ class _Compiler:
         wanted = F.array(*[F.lit(self._literal(f, v)) for v in t.terms])
         span = len(t.terms) + t.slop
         near = lambda k: F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(k) - span + 1)), lambda i: F.size(F.array_intersect(F.slice(k, i, span), wanted)) == len(set(t.terms)))
-        return every & sure(F.get(F.transform(F.array(self._tokens(f)), near), F.lit(0)))
+        return every & self.sure(F.get(F.transform(F.array(self._tokens(f)), near), F.lit(0)))
 
     # Composites.
 
@@ -354,7 +366,7 @@ class _Compiler:
         return _any([self.of(p) for p in t.parts])
 
     def _not(self, t: q.Not):
-        return ~self.of(t.part)
+        return ~self.definite().of(t.part)
 
     def _bool(self, t: q.Bool):
         need = max(1, t.min_should_match) if t.should else 0
@@ -364,8 +376,8 @@ class _Compiler:
         if need == 1:
             parts.append(_any([self.of(p) for p in t.should]))
         elif need:
-            parts.append(sum((self.of(p).cast("int") for p in t.should), F.lit(0)) >= need)
-        parts += [~self.of(p) for p in sorted(t.must_not, key=cost)]
+            parts.append(sum((self.definite().of(p).cast("int") for p in t.should), F.lit(0)) >= need)
+        parts += [~self.definite().of(p) for p in sorted(t.must_not, key=cost)]
         return reduce(lambda a, b: a & b, parts) if parts else ALL
 
     def _vector(self, t: q.Vector):

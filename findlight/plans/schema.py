@@ -44,6 +44,7 @@ class Field:
     column: str | None = None
     multi: bool = False
     wall: bool = False
+    norm: str | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
