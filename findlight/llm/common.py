@@ -60,6 +60,15 @@ def kept_table(df: DataFrame, *parts: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table up to which it is broadcast (some 10 MB).
+BROADCAST_ROWS = 200_000
+
+
+def beside(big: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """``big`` joined with the narrow table ``small``, which is broadcast if it has few rows, counted first, and shuffled otherwise."""
+    return big.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, or where ``df`` has it already (whatever its case) the name with underscores in front."""
     taken, out = {c.lower() for c in df.columns}, []
