@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, words_of
+from .common import beside, cut, fresh, table, words_of
 
 #: Slices of a source's hash range, and rows that a slice has at least; only the slice where a source's fraction ends is ordered row by row.
 SLICES = 4096
 SLICE_ROWS = 512
-#: Rows of a table of sources, or of the rows of those slices, up to which it is broadcast (some 10 MB).
-BROADCAST_ROWS = 200_000
 SEED = "mix-1"
 
 
@@ -47,11 +45,6 @@ def weigh_in_turn(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.
     return parts.join(before, "_part").withColumn("weight", picked).drop("_part", "_before")
 
 
-def _beside(big: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small``, which is broadcast if it has few rows and shuffled otherwise."""
-    return big.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
-
-
 def _fill(edge: DataFrame, passes: int = 3) -> DataFrame:
     """The rows of ``edge (_s, _hash, _id, _size, bulk, need)`` that are taken: in hash order until the next doesn't fit, then the largest that still fit."""
     source = Window.partitionBy("_s")
@@ -105,16 +98,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     dealt = cut(sources.join(edges, F.col("_src").eqNullSafe(F.col("_esrc")), "left").drop("_esrc"))
 
     slice_ = F.floor(F.col("_fine") / F.col("_div")).cast("int")
-    edge = _beside(units, dealt.select("_src", "_edge", "_div", "need"), same).filter(slice_ == F.col("_edge"))
+    edge = beside(units, dealt.select("_src", "_edge", "_div", "need"), same).filter(slice_ == F.col("_edge"))
     extra = cut(_fill(edge.select("_s", "_hash", "_id", "_size", "bulk", "need")))
     extra = extra.select(F.col("_s").alias("_xs"), F.col("_hash").alias("_xh"), F.col("_id").alias("_xi"), F.col("_size").alias("_xz"), F.lit(1).alias("_more"))
 
     rows = docs.withColumns({"_mx_size": size}).withColumn("_mx_hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col("_mx_size")))
     d = dealt.select("_src", "source_size", "target", "whole", "_edge", "_div").select(F.struct("*").alias("_d"))
-    rows = _beside(rows, d, rows[source_col].eqNullSafe(F.col("_d._src")))
+    rows = beside(rows, d, rows[source_col].eqNullSafe(F.col("_d._src")))
     x = extra.select(F.struct("*").alias("_x"))
     match = (F.col("_mx_hash") == F.col("_x._xh")) & rows[id_col].eqNullSafe(F.col("_x._xi")) & rows[source_col].eqNullSafe(F.col("_x._xs")) & (F.col("_mx_size") == F.col("_x._xz"))
-    rows = _beside(rows, x, match, "left")
+    rows = beside(rows, x, match, "left")
     at = F.floor(F.pmod(F.col("_mx_hash"), F.lit(SLICES)) / F.col("_d._div"))
     more = F.when(F.col("_x").isNotNull(), 1).when(F.col("_d._edge").isNotNull() & (at < F.col("_d._edge")), 1).otherwise(0)
     times = (F.col("_d.whole") + more).cast("int")
