@@ -209,4 +209,16 @@ def op7_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\\### Assistant: </turn> ok"
     more = spark.sql(f"SELECT -7L AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{said}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return read_back(formatted(rows.unionByName(more)))
+    return read_back(formatted(rows.unionByName(more))).drop("n_ids", "loss_ids")
+
+
+_ESCAPED = "length(regexp_replace({}, '(" + "|".join(re.sub(r"([\\|])", r"\\\1", c) for c in ("\\", *CONTROLS)) + ")', '\\\\\\1', 'g'))"
+_ORDER = "ORDER BY turn NULLS FIRST, role, sha256(text)"
+_SAID = r"\### Assistant: </turn> ok"
+OP7_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '{_SAID}' UNION ALL SELECT -7, 1, 'assistant', '{_SAID}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum({_ESCAPED.format("role")} + {_ESCAPED.format("text")} + {sum(map(len, SHOWN.values()))})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""

@@ -1,8 +1,8 @@
-"""The queries of the ten operators, their SQL where SQL can express them, and the pipeline."""
+"""The queries of the ten operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from .chat_tokens import op7_chat_tokens
+from .chat_tokens import OP7_SQL, op7_chat_tokens
 from .lattice_lm import op4_lattice_lm
 from .quality_rules import op5_quality_rules
 from .secret_forest import op1_secret_forest
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_virtual_slots": op10_virtual_slots,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat_tokens": OP7_SQL}

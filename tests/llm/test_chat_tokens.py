@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from findlight.llm import chat_tokens as ct
@@ -29,7 +30,12 @@ def test_a_table_and_the_planted_conversation(spark, sf):
     rows += [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
     got = ct.op7_chat_tokens(spark, sf).collect()
     assert digest(got) == want(rows) and len(got) == len(want(rows))
-    assert all(r.formatted_chars > r.loss_chars and r.n_ids > r.loss_ids for r in got)
+    assert all(r.formatted_chars > r.loss_chars for r in got)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    sql = con.sql(ct.OP7_SQL)
+    columns = sql.columns
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(sql.limit(10**6).fetchall())
 
 
 def test_escapes_come_back():
