@@ -65,7 +65,15 @@ def test_recall_against_a_loop():
         mu = lm.RECALL * k / (k + lm.RECALL_HALF)
         want.append(math.log((1 - mu) * math.exp(w[k]) + mu * (seen[x] / k if k else 0)))
         seen[x] += 1
-    assert lm.recalled(at, w) == pytest.approx(want)
+    assert lm.recalled(lm.earlier(at), w) == pytest.approx(want)
+
+
+def test_word_weights_add_up():
+    import numpy as np
+
+    got = lm.word_weights(np.log(np.array([0.25, 0.5])), np.array([3.0, 0.0]), 10, 4)
+    share = lm.DISCOUNT * 4 / 10
+    assert np.exp(got) == pytest.approx([(3 - lm.DISCOUNT) / 10 + share * 0.25, share * 0.5])
 
 
 def test_a_table_against_plain_counts(spark, sf):
@@ -93,7 +101,7 @@ def test_a_table_against_plain_counts(spark, sf):
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "one two"), (5, "one"), (5, "one"), (6, "w " * 50_000)]
-    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(i, t, "s", None if i == 5 else "x") for i, t in rows], "doc_id long, text string, score string, lang string")
     got = lm.score(lm.held_out(docs), lm.vocabulary_path(), rounds=1).collect()
     assert sorted(r.n_tokens for r in got) == [1, 1, 1, 2, 2, 3, 50_001]
     assert len({(r.doc_id, r.score) for r in got if r.doc_id == 5}) == 1 and all(math.isfinite(r.score) for r in got)
