@@ -229,3 +229,17 @@ def test_structures(spark):
     assert df.filter("id >= 1000").filter(bloom.may_have(F.col("id"))).count() < 50
     shards = df.groupBy(structures.stable_shard(F.col("id"), 4).alias("s")).count().collect()
     assert {r.s for r in shards} == {0, 1, 2, 3} and min(r["count"] for r in shards) > 400
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from findlight.__main__ import main
+
+    (tmp_path / "c.csv").write_text(CHARGES)
+    assert main(["search", str(tmp_path / "c.csv"), "charge_amt__gt=50", "--type", "csv"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"total": 2}
+    cat.Catalog(spark, str(tmp_path / "store")).reload_source("one", {"type": "csv", "path": str(tmp_path / "c.csv")})
+    assert main(["restore-search", str(tmp_path / "store"), "one", '{"type": "term", "field": "cpt_code", "value": "99213"}']) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"total": 1}
+    root = str(tmp_path / "store" / "one")
+    assert main(["generations", root]) == 0 and main(["validate", root]) == 0 and main(["compact", root]) == 0 and main(["repair", root]) == 0
+    assert main(["plan", "12000000"]) == 0 and json.loads(capsys.readouterr().out.strip().splitlines()[-1])["partitions"] == 3
