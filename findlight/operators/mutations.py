@@ -48,12 +48,18 @@ def live(table: DataFrame, schema: Schema, now: float | None = None, deleted_col
     out = table if deleted_col is None else table.filter(~F.coalesce(F.col(deleted_col), F.lit(False)))
     for f in schema.fields:
         if f.ttl and now is not None:
-            c = F.col(f.source)
-            seconds = F.unix_micros(c) / 1e6 if f.kind == "time" and dict(out.dtypes)[f.source].startswith("timestamp") else c.cast("double")
-            out = out.filter(alive(seconds, now))
+            out = out.filter(alive(_seconds(out, f.source), now))
     return out
 
 
+def _seconds(df: DataFrame, name: str) -> Column:
+    """A number of seconds, or a time, as seconds since 1970; a time without a zone is taken as UTC."""
+    kind = dict(df.dtypes)[name]
+    if kind == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)") / 1e6
+    return F.unix_micros(F.col(name)) / 1e6 if kind == "timestamp" else F.col(name).cast("double")
+
+
 def violations(table: DataFrame, schema: Schema) -> DataFrame:
     """``(field, value, ids)`` for each value of a unique field that more than one id has."""
     out = None

@@ -264,7 +264,7 @@ TTL_NOW = 1_706_745_600
 
 
 def _ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir, "events").withColumn("expires_at", F.unix_seconds(F.col("ts").cast("timestamp")) + 30 * 86_400)
+    df = _table(spark, sf_dir, "events").withColumn("expires_at", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") + 30 * 86_400)
     return Collection(df, Schema((Field("expires_at", "int", ttl=True),), "event_id"), now=TTL_NOW).live.select("event_id")
 
 
