@@ -69,7 +69,7 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None, part_ids:
     def encode(batches):
         own = encoding(path).encode_ordinary
         for batch in batches:
-            roles = [pa.py_buffer(_ids(own(escape(r)))).to_pybytes() for r in batch.column(2).to_pylist()]
+            roles = [_ids(own(escape(r))) for r in batch.column(2).to_pylist()]
             texts = [_ids(own(escape(t))) for t in batch.column(3).to_pylist()]
             learned = [r == LEARNED_ROLE for r in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roles, pa.binary()), pa.array(texts, pa.binary()), pa.array(learned)], names=[*batch.schema.names, "role_ids", "text_ids", "learned"])
