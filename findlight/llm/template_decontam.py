@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import beside, cut, let, table, words_of
 
-#: Template words to a window, literal ones it has at least (else only if its item has no better), and words that a match covers at least (of a shorter item: all).
-WINDOW, LITERALS, COVERED = 8, 4, 13
-#: Items in which a window may be and still find candidates by itself; an item's rarest window always does.
-SEED_ITEMS = 16
+#: Words to a window, and words that a match covers at least (of a shorter item: all).
+WINDOW, COVERED = 8, 13
 #: Rows of benchmark windows up to which they are broadcast (some 60 MB).
 BROADCAST_WINDOWS = 2_000_000
 
@@ -45,21 +43,35 @@ def template(marked_text: Column) -> Column:
     return F.regexp_replace(marked_text, rf"([{NUMBER}-{UNIT}])[^\s{NUMBER}-{UNIT}]*", "$1")
 
 
-def _windows(words: Column, size: int) -> Column:
-    """The hash of each window of ``size`` words, by its place."""
-    made = lambda h: F.when(F.size(h) < size, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(h) - (size - 1)), lambda i: F.xxhash64(F.slice(h, i, size))))
-    return let(F.transform(words, lambda w: F.xxhash64(w)), made)
+def plain(marked_text: Column) -> Column:
+    """A marked text without the marks; it has the same words in the same places."""
+    return F.translate(marked_text, NUMBER + NAME + UNIT, "")
 
 
-def _seeds(items: DataFrame, size: int, window: int) -> DataFrame:
-    """``(h, item_id, ipos)``: the windows by which items are found. ``items (item_id, words, n)``; items under ``window`` words have one of their own ``size``."""
-    mine = items.filter(F.col("n") == size if size < window else F.col("n") >= window)
-    literal = F.transform(F.sequence(F.lit(1), F.size("words") - (size - 1)), lambda i: F.size(F.filter(F.slice("words", i, size), lambda w: ~w.rlike(f"[{NUMBER}-{UNIT}]"))))
-    listed = mine.select("item_id", F.posexplode(F.arrays_zip(_windows(F.col("words"), size).alias("h"), literal.alias("literal"))).alias("ipos", "w")).select("item_id", "ipos", "w.h", (F.col("w.literal") >= min(LITERALS, size)).alias("good"))
-    df = listed.groupBy("h").agg(F.countDistinct("item_id").alias("df"))
-    ranked = listed.join(df, "h")
-    best = ranked.groupBy("item_id").agg(F.min(F.struct(~F.col("good"), "df", "ipos")).alias("best")).select("item_id", F.col("best.ipos").alias("best_ipos"))
-    return ranked.join(best, "item_id").filter((F.col("good") & (F.col("df") <= SEED_ITEMS)) | (F.col("ipos") == F.col("best_ipos"))).select("h", "item_id", "ipos")
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(h: Column, size: int) -> Column:
+    """The hash of each window of ``size`` hashed words, by its place."""
+    return F.when(F.size(h) < size, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(h) - (size - 1)), lambda i: F.xxhash64(F.slice(h, i, size))))
+
+
+def _seeds(classes: DataFrame, size: int, window: int) -> DataFrame:
+    """``(h, class, n, ipos)``: all windows of ``classes (class, words, n)``; those under ``window`` words have one of their own ``size``."""
+    mine = classes.filter(F.col("n") == size if size < window else F.col("n") >= window)
+    return mine.select("class", "n", F.posexplode(let(_hashes(F.col("words")), lambda h: _windows(h, size))).alias("ipos", "h")).select("h", "class", "n", "ipos")
+
+
+def _all_windows(text: Column, sizes: list[int]) -> Column:
+    """``(h, at)`` of all windows of a text: of its template, and of its plain words where these differ."""
+    place = lambda windows: F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+
+    def made(t: Column, p: Column) -> Column:
+        differing = lambda s: F.filter(place(F.zip_with(_windows(t, s), _windows(p, s), lambda x, y: F.when(x != y, y))), lambda w: w["h"].isNotNull())
+        return F.flatten(F.array(*[f(s) for s in sizes for f in (lambda s: place(_windows(t, s)), differing)]))
+
+    return let(marked(text), lambda m: let(_hashes(words_of(template(m))), lambda t: let(_hashes(words_of(plain(m))), lambda p: made(t, p))))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -83,7 +95,7 @@ def _aligned(doc: Column, item: Column, shift: Column, size: Column) -> Column:
 
     def judge(p: Column) -> Column:
         same = F.transform(p, lambda x: F.coalesce(bare(x["i"]) == bare(x["d"]), F.lit(False)))
-        equal = F.transform(p, lambda x: F.coalesce(x["i"] == x["d"], F.lit(False)))
+        equal = F.transform(p, lambda x: F.coalesce(plain(x["i"]) == plain(x["d"]), F.lit(False)))
         slots = F.array_distinct(F.filter(p, lambda x: x["i"].rlike(f"[{NUMBER}-{UNIT}]") & F.coalesce(bare(x["i"]) == bare(x["d"]), F.lit(False))))
         clash = let(slots, lambda s: F.size(F.array_distinct(F.transform(s, lambda x: x["i"]))) < F.size(s))
         changed = let(slots, lambda s: F.size(F.filter(s, lambda x: x["i"] != x["d"])))
@@ -95,29 +107,39 @@ def _aligned(doc: Column, item: Column, shift: Column, size: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, covered: int = COVERED) -> DataFrame:
     """``(doc_id, text_hash, item_id, n_words, matched_words, equal_words, changed_slots)`` for each document row and item that it holds.
 
-    Template windows of whole texts are hash-joined with those of the items (broadcast while they are few, shuffled
-    otherwise); each place where a document and an item then lie side by side is compared word by word. It is a
-    match if runs of ``window`` template words or more cover ``covered`` of the item's words (a shorter item: all)
-    and each of its values stands for one value throughout, or if runs that are equal in values too cover as many.
+    All windows of whole texts are hash-joined with all those of the items (broadcast while they are few, shuffled
+    otherwise), by template and by plain words; items of one template, or of the same words, are looked for once.
+    Where a document holds windows enough of a template or text, it is compared with each of its items word by
+    word. It is a match if runs of ``window`` template words or more cover ``covered`` of the item's words (a
+    shorter item: all) and each of its values stands for one value throughout, or if runs of equal lower-case
+    words cover as many, whatever is a name or a unit where they stand.
 
     A null or blank text matches nothing, nor does a null or blank item; rows of a null id are found like others;
     repeated rows and items give repeated results once each. Empty tables give no rows.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(marked(F.col(item_text_col))).alias("marked_words"), words_of(template(marked(F.col(item_text_col)))).alias("words"))
+    m = marked(F.col(item_text_col))
+    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(m).alias("marked_words"), words_of(template(m)).alias("words"), words_of(plain(m)).alias("plain_words"))
     items = cut(items.filter(F.size("words") > 0).dropDuplicates().withColumn("n", F.size("words")))
+    kinds = F.array(*[F.struct(F.xxhash64(F.col(name), F.lit(k)).alias("class"), F.col(name).alias("words")) for k, name in enumerate(("words", "plain_words"))])
+    classed = items.select("item_id", "n", F.explode(kinds).alias("k")).select("item_id", "n", "k.class", "k.words")
+    classes = classed.select("class", "words", "n").dropDuplicates(["class"])
     sizes = sorted({min(r.n, window) for r in items.select(F.least("n", F.lit(window)).alias("n")).distinct().collect()})
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, item_id {benchmark.schema[item_col].dataType.simpleString()}, n_words int, matched_words int, equal_words int, changed_slots int")
-    seeds = _seeds(items, sizes[0], window)
+    seeds = _seeds(classes, sizes[0], window)
     for size in sizes[1:]:
-        seeds = seeds.union(_seeds(items, size, window))
+        seeds = seeds.union(_seeds(classes, size, window))
     seeds = cut(seeds)
     by_hash = F.broadcast(seeds) if seeds.count() <= BROADCAST_WINDOWS else seeds
 
     keyed = _keyed(docs, id_col, text_col)
-    all_windows = let(words_of(template(marked(F.col("text")))), lambda w: F.flatten(F.array(*[F.transform(_windows(w, s), lambda h, i: F.struct(h.alias("h"), i.alias("at"))) for s in sizes])))
-    exploded = keyed.select("doc_id", "text_hash", F.explode(all_windows).alias("w")).select("doc_id", "text_hash", "w.h", "w.at")
-    found = exploded.join(by_hash, "h").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("ipos")).alias("shift")).distinct()
+    exploded = keyed.select("doc_id", "text_hash", F.explode(_all_windows(F.col("text"), sizes)).alias("w")).select("doc_id", "text_hash", "w.h", "w.at")
+    placed = exploded.join(by_hash, "h").groupBy("doc_id", "text_hash", "class", "n", (F.col("at") - F.col("ipos")).alias("shift")).agg(F.sort_array(F.collect_set("ipos")).alias("places"))
+    # Windows side by side cover what an alignment can match at most.
+    size = F.least("n", F.lit(window))
+    gained = F.aggregate(F.transform("places", lambda x, k: F.when(k == 0, size).otherwise(F.least(x - F.get("places", F.greatest(k - 1, F.lit(0))), size))), F.lit(0), lambda x, y: x + y)
+    placed = placed.filter(gained >= F.least("n", F.lit(covered))).select("doc_id", "text_hash", "class", "shift")
+    found = placed.join(classed.select("class", "item_id"), "class").select("doc_id", "text_hash", "item_id", "shift").distinct()
     found = cut(found)
 
     wanted = cut(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())

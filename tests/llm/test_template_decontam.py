@@ -45,3 +45,15 @@ def test_a_table_against_plain_search(spark):
     want = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     got = {(r.doc_id, r.item_id) for r in td.op8_template_decontam(spark, sf).collect()}
     assert want and got == want
+
+
+def test_part_of_one_of_many_items_of_a_template(spark):
+    """Words 10 to 40 of one of 20 items that differ in numbers only, and a row of numbers out of an item."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(50)]
+    item = lambda i: " ".join([*words[:15], str(i), *words[15:30], str(i + 7), *words[30:]])
+    numbers = "sum these now please " + " ".join(str(3 * k + 11) for k in range(20)) + " and say what comes out of it"
+    items = [*((i, item(i)) for i in range(20)), (50, numbers)]
+    part = " ".join(item(4).split()[10:40])
+    got = found(spark, [(1, f"something else {part} goes on"), (2, "given " + " ".join(numbers.split()[5:22])), (3, " ".join(item(4).split()[10:20]))], items)
+    assert [(d, i) for d, i, _ in got] == [(1, i) for i in range(20)] + [(2, 50)]
+    assert [c for d, i, c in got if (d, i) == (1, 4)] == [0]
