@@ -57,3 +57,11 @@ def test_part_of_one_of_many_items_of_a_template(spark):
     got = found(spark, [(1, f"something else {part} goes on"), (2, "given " + " ".join(numbers.split()[5:22])), (3, " ".join(item(4).split()[10:20]))], items)
     assert [(d, i) for d, i, _ in got] == [(1, i) for i in range(20)] + [(2, 50)]
     assert [c for d, i, c in got if (d, i) == (1, 4)] == [0]
+
+
+def test_copies_whose_words_are_names_elsewhere(spark):
+    """Short items after a lower-case word, and in lower case."""
+    names = "They say that Tom met Anna Smith and Bob Jones near Oxford"
+    items = [(1, "Short item here"), (2, names), (3, "Cups of tea for nine old men were sold")]
+    texts = [(1, "x y Short item here z"), (2, "so " + names.lower() + " then"), (3, "so " + names + " then"), (4, "and 5 Cups of tea for nine old men were sold"), (5, "x y Short item there")]
+    assert [(d, i) for d, i, _ in found(spark, texts, items)] == [(1, 1), (2, 2), (3, 2), (4, 3)]
