@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, words_of
+from .common import SPACE, let, table, words_of
 
 #: Labelled findings that the forest is trained from, at most (those with the least hash), and its size.
 TRAIN_ROWS, TREES, DEPTH, SEED = 4000, 24, 7, 17
@@ -22,6 +22,12 @@ SHORTEST, FEATURE_CHARS = 8, 512
 _RUN = r"[A-Za-z0-9+/_=-]{16,}"
 _ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*[:=]+>?\s*[\"']?[^\s\"']{8,}"
 _PROVIDER = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+#: A telling name before a value that stands apart, and such a pair in a text.
+_TELLING = r"(?:passw(?:or)?d|pwd|secret|token|key|auth|credential)s?[\"']?"
+_APART = rf"(?iu){_TELLING}(?:[{SPACE}]+[=:]+>?|[=:]+)[{SPACE}]+[^{SPACE}]{{8,}}"
+#: What parts a word into its own assignments and values, and a run without what it may be assigned to.
+_PARTS = r"[{}\[\](),;&?|<>@#]+"
+_LONE_RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 FOR = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access", "auth", "authorization", "bearer", "credential", "credentials", "private")
 AGAINST = ("sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "commit", "revision", "uuid", "guid", "id", "example", "sample", "dummy", "placeholder", "changeme", "test", "fake", "redacted", "isbn", "order", "invoice", "card", "phone", "ip", "version")
 PATHS_AGAINST = r"(?i)(?:^|[/_.-])(?:tests?|examples?|samples?|fixtures?|docs?|mocks?|vendor|node_modules)(?:[/_.-]|$)"
@@ -45,13 +51,27 @@ def _value(word: Column) -> Column:
     return F.regexp_replace(bare, r"^[\"'`(<\[{,;]+|[\"'`)>\]},;.!?#*$%&|]+$", "")
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """``(doc_id, path, at, word, value, before, after)`` of each candidate in whole texts: its place among the words, and the words beside it (three before, two after, lowered)."""
+def _within(word: Column) -> Column:
+    """``(value, order, word)`` of each value in a word that is a candidate: the word's own, those of its parts with their names, provider keys, and runs. Equal ones count once."""
+    parts = F.filter(F.split(word, _PARTS), _is_candidate)
+    runs = F.filter(F.regexp_extract_all(word, F.lit(_LONE_RUN), F.lit(0)), _is_candidate)
+    kinds = F.array(F.array(word), parts, F.regexp_extract_all(word, F.lit(_PROVIDER), F.lit(0)), runs)
+    all_ = F.flatten(F.transform(kinds, lambda ws, k: F.transform(ws, lambda w: F.struct(_value(w).alias("value"), k.alias("order"), w.alias("word")))))
+    once = let(F.array_sort(all_), lambda v: F.filter(v, lambda x, k: (k == 0) | (F.get(v, F.greatest(k - 1, F.lit(0)))["value"] != x["value"])))
+    return F.when(word.rlike(_PARTS), once).otherwise(F.array(F.struct(_value(word).alias("value"), F.lit(0).alias("order"), word.alias("word"))))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", filtered: bool = True) -> DataFrame:
+    """``(doc_id, path, at, word, value, before, after)`` of each candidate in whole texts: the place of its word, the part of the word that it is, and the words beside it (three before, two after, lowered).
+
+    Texts that can have none go first, if ``filtered``; the result is the same.
+    """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     hot = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
-    # Most texts have none; they are told by three searches each, before any is parted into words.
-    hot = hot.filter(F.col("text").rlike(r"[0-9]") & (F.col("text").rlike(r"(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}|" + _RUN) | F.col("text").rlike(_PROVIDER)) | F.col("text").rlike(_ASSIGNED))
-    telling = r"(?i)(?:passw(?:or)?d|pwd|secret|token|key|auth|credential)s?[\"']?"
+    # Most texts have none; they are told by four searches each, before any is parted into words.
+    if filtered:
+        hot = hot.filter(F.col("text").rlike(r"[0-9]") & (F.col("text").rlike(_RUN) | F.col("text").rlike(_PROVIDER)) | F.col("text").rlike(_ASSIGNED) | F.col("text").rlike(_APART))
+    telling = f"(?i){_TELLING}"
 
     def pick(words: Column) -> Column:
         near = lambda i, d: F.coalesce(F.lower(F.get(words, i + d)), F.lit(""))
@@ -68,7 +88,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     found = hot.select("doc_id", "path", F.explode(let(words_of(F.col("text")), pick)).alias("c"))
-    return found.select("doc_id", "path", "c.at", "c.word", _value(F.col("c.word")).alias("value"), "c.before", "c.after").filter(F.length("value") >= SHORTEST)
+    found = found.select("doc_id", "path", "c", F.explode(_within(F.col("c.word"))).alias("v"))
+    return found.select("doc_id", "path", "c.at", "v.word", "v.value", "c.before", "c.after").filter(F.length("value") >= SHORTEST)
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -159,7 +180,7 @@ def train(findings: DataFrame, train_rows: int = TRAIN_ROWS) -> RandomForestClas
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, at, value, score, is_secret)`` of each candidate of ``docs``; without a model each candidate counts.
 
-    ``at`` is the place of the word in the text, from 0. A null or empty text has none, a null id or path is
+    ``at`` is the place of the word in the text, from 0; a word may hold several. A null or empty text has none, a null id or path is
     found like any other, repeated rows give repeated findings, other columns don't matter, and an empty table
     gives no rows.
     """
