@@ -15,8 +15,8 @@ from .common import SPACE, let, table, words_of
 #: Labelled findings that the forest is trained from, at most (those with the least hash), and its size.
 TRAIN_ROWS, TREES, DEPTH, SEED = 4000, 24, 7, 17
 THRESHOLD = 0.5
-#: A word can be a finding from this length on, and words longer than this are cut for the features only (the finding stays whole).
-SHORTEST, FEATURE_CHARS = 8, 512
+#: A word can be a finding from this length on.
+SHORTEST = 8
 
 # What a candidate looks like, and words that speak for or against a secret when they stand near.
 _RUN = r"[A-Za-z0-9+/_=-]{16,}"
@@ -94,7 +94,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def features(found: DataFrame) -> DataFrame:
     """``found`` with one column for each of FEATURES, all of built-in functions."""
-    v = F.substring("value", 1, FEATURE_CHARS)
+    v = F.col("value")
     n = F.greatest(F.length(v), F.lit(1))
     share = lambda pattern: 1.0 - F.length(F.regexp_replace(v, pattern, "")) / n
     pairs = lambda pattern: F.size(F.regexp_extract_all(v, F.lit(f"(?={pattern})."), F.lit(0))) / n

@@ -60,3 +60,9 @@ def test_the_filter_drops_no_candidate(spark):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
     rows = lambda filtered: sorted((r.doc_id, r.at, r.value) for r in sf_.candidates(docs, filtered=filtered).collect())
     assert rows(True) == rows(False) and {0, 1, 2, 6} <= {i for i, _, _ in rows(True)}
+
+
+def test_features_are_of_the_whole_value(spark):
+    value = "q" * 600 + "7" * 200 + "A" * 200
+    row = sf_.features(spark.createDataFrame([("", value, value, ["", "", ""], ["", ""])], "path string, word string, value string, before array<string>, after array<string>")).first()
+    assert round(row.digit_share, 6) == round(row.upper_share, 6) == 0.2 and round(row.kinds_share, 6) == 0.003
