@@ -78,3 +78,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def first_of(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of ``docs`` of each root of ``rows (doc_id, text_hash, root)``; text_hash is of the text, null being empty. Of rows with the same id and text any one."""
+    keys = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("first"))
+    i, h = fresh(docs, "id", "hash")
+    chosen = cut(least.select(F.col("first.doc_id").alias(i), F.col("first.text_hash").alias(h), F.col("first.n").alias("n")))
+    hashed = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    same = docs[id_col].eqNullSafe(F.col(i)) & (hashed == F.col(h))
+    once = beside(docs, chosen.filter("n = 1").drop("n"), same, "left_semi")
+    repeated = chosen.filter("n > 1").drop("n")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(beside(docs, repeated, same, "left_semi").withColumn(h, hashed).dropDuplicates([id_col, h]).drop(h))

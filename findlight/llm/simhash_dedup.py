@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import beside, cut, first_of, table
 from .components import components
+from .similar_texts import labelled
 
 #: Four blocks of two byte positions. Two differing bits spoil two blocks at most, so two blocks of every linked pair are whole.
 BLOCKS = ((0, 1), (2, 3), (4, 5), (6, 7))
@@ -49,7 +50,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made = pa.array([fingerprint(t.as_py(), words) for t in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
@@ -120,13 +122,17 @@ def links(distinct: DataFrame, paired_list: int = PAIRED_LIST) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, paired_list: int) -> DataFrame:
-    """``(doc_id, text_hash, fp, root)``: rows of one component have one root."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, paired_list: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_hash, fp)`` of all rows, and ``(_fp, root, component_id)`` of their distinct fingerprints: those of one component have one root.
+
+    Ids are reduced to the least of a fingerprint where the rows lie, so components meet with one row a fingerprint.
+    """
     prints = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = prints.select("fp").distinct()
-    roots = components(links(distinct, paired_list))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return prints.join(rooted, "fp").select("doc_id", "text_hash", "fp", "root")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct.select("fp"), paired_list))
+    rooted = cut(beside(distinct, roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
+    return prints, cut(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, paired_list: int = PAIRED_LIST) -> DataFrame:
@@ -136,26 +142,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose doc_id is null gets its component's least doc_id (null if the component has none). Repeated rows
     stay repeated. Other columns of ``docs`` don't matter. An empty table gives no rows.
     """
-    rows = _labelled(docs, id_col, text_col, words, paired_list)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", "fp", "component_id")
+    rows, rooted = _labelled(docs, id_col, text_col, words, paired_list)
+    return beside(rows, rooted, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, paired_list: int = PAIRED_LIST) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None, paired_list: int = PAIRED_LIST) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component: the one with the least id (null comes last), then the least text hash.
 
-    Of rows that repeat both id and text one stays. All columns stay as they are.
+    Texts are linked by MAX_BITS differing bits or, if ``similarity`` is given, by that share of equal shingles (see
+    ``similar_texts``). Of rows that repeat both id and text one stays. All columns stay as they are, whatever their
+    names.
     """
-    rows = _labelled(docs, id_col, text_col, words, paired_list)
-    keys = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    first = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("first"))
-    chosen = cut(first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("first.n").alias("_n")))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
-    once = docs.join(chosen.filter("_n = 1"), same, "left_semi")
-    repeated = chosen.filter("_n > 1")
-    if repeated.isEmpty():
-        return once
-    return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+    if similarity is not None:
+        return first_of(docs, labelled(docs, id_col, text_col, words, similarity), id_col, text_col)
+    rows, rooted = _labelled(docs, id_col, text_col, words, paired_list)
+    return first_of(docs, beside(rows, rooted, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "root"), id_col, text_col)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
