@@ -25,8 +25,16 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null and for white space only."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
+
+
+def each(values: Column) -> Column:
+    """``values`` one by one, and one null for an empty array, which the caller drops.
+
+    An inner explode of a computed array is computed twice: once more for a filter on its size that the optimizer
+    puts before it.
+    """
+    return F.explode_outer(values)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, table, words_of
+from .common import SPACE, each, let, table, words_of
 
 #: Labelled findings that the forest is trained from, at most (those with the least hash), and its size.
 TRAIN_ROWS, TREES, DEPTH, SEED = 4000, 24, 7, 17
@@ -87,8 +87,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lambda r: F.struct(r["at"], r["word"], F.array(*[near(r["at"], F.lit(-d)) for d in (1, 2, 3)]).alias("before"), F.array(near(r["at"], F.lit(1)), near(r["at"], F.lit(2))).alias("after")),
         )
 
-    found = hot.select("doc_id", "path", F.explode(let(words_of(F.col("text")), pick)).alias("c"))
-    found = found.select("doc_id", "path", "c", F.explode(_within(F.col("c.word"))).alias("v"))
+    found = hot.select("doc_id", "path", each(let(words_of(F.col("text")), pick)).alias("c")).filter("c IS NOT NULL")
+    found = found.select("doc_id", "path", "c", each(_within(F.col("c.word"))).alias("v")).filter("v IS NOT NULL")
     return found.select("doc_id", "path", "c.at", "v.word", "v.value", "c.before", "c.after").filter(F.length("value") >= SHORTEST)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, cut, let, table, words_of
+from .common import beside, cut, each, fresh, let, table, words_of
 
 #: Words to a window, and words that a match covers at least (of a shorter item: all).
 WINDOW, COVERED = 8, 13
@@ -31,11 +31,18 @@ def marked(text: Column) -> Column:
 
     A name is a capitalised word that doesn't begin a sentence or a line; a unit is one of UNITS after a digit.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{UNIT}]", "")
-    t = F.regexp_replace(t, _UNIT, f"{UNIT}$0")
-    t = F.regexp_replace(t, _NAME, f"{NAME}$0")
-    t = F.regexp_replace(t, _NUMBER, f"{NUMBER}$0")
-    return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NUMBER}-{UNIT}]+", "")
+    text = F.coalesce(text, F.lit(""))
+
+    def lowered(t: Column) -> Column:
+        return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}\s{NUMBER}-{UNIT}]+", "")
+
+    def named(t: Column) -> Column:
+        return F.regexp_replace(t, _NAME, f"{NAME}$0")
+
+    # Passes over the text that most texts can do without stand behind cheaper tests.
+    bare = F.when(F.contains(text, F.lit(NUMBER)) | F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(UNIT)), F.regexp_replace(text, f"[{NUMBER}-{UNIT}]", "")).otherwise(text)
+    counted = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(named(F.regexp_replace(t, _UNIT, f"{UNIT}$0")), _NUMBER, f"{NUMBER}$0")).otherwise(named(t))
+    return lowered(let(bare, counted))
 
 
 def template(marked_text: Column) -> Column:
@@ -52,26 +59,31 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(h: Column, size: int) -> Column:
-    """The hash of each window of ``size`` hashed words, by its place."""
-    return F.when(F.size(h) < size, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(h) - (size - 1)), lambda i: F.xxhash64(F.slice(h, i, size))))
+def _window(h: Column, at: Column, size: int) -> Column:
+    """The hash of the ``size`` hashed words of ``h`` from place ``at`` on (from 0), or null where they aren't there."""
+    return F.when(at + size <= F.size(h), F.xxhash64(*[F.get(h, at + k) for k in range(size)]))
 
 
 def _seeds(classes: DataFrame, size: int, window: int) -> DataFrame:
     """``(h, class, n, ipos)``: all windows of ``classes (class, words, n)``; those under ``window`` words have one of their own ``size``."""
     mine = classes.filter(F.col("n") == size if size < window else F.col("n") >= window)
-    return mine.select("class", "n", F.posexplode(let(_hashes(F.col("words")), lambda h: _windows(h, size))).alias("ipos", "h")).select("h", "class", "n", "ipos")
+    placed = mine.select("class", "n", _hashes(F.col("words")).alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("ipos"))
+    return placed.select(_window(F.col("w"), F.col("ipos"), size).alias("h"), "class", "n", "ipos")
 
 
-def _all_windows(text: Column, sizes: list[int]) -> Column:
-    """``(h, at)`` of all windows of a text: of its template, and of its plain words where these differ."""
-    place = lambda windows: F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+def _all_windows(keyed: DataFrame, sizes: list[int]) -> DataFrame:
+    """``(doc_id, text_hash, h, at)`` of all windows of the texts of ``keyed``: of their templates, and of their plain words where these differ.
 
-    def made(t: Column, p: Column) -> Column:
-        differing = lambda s: F.filter(place(F.zip_with(_windows(t, s), _windows(p, s), lambda x, y: F.when(x != y, y))), lambda w: w["h"].isNotNull())
-        return F.flatten(F.array(*[f(s) for s in sizes for f in (lambda s: place(_windows(t, s)), differing)]))
-
-    return let(marked(text), lambda m: let(_hashes(words_of(template(m))), lambda t: let(_hashes(words_of(plain(m))), lambda p: made(t, p))))
+    Windows are hashed and looked up one by one behind the explode, in generated code; no array of them is made.
+    """
+    both = lambda m: F.struct(_hashes(words_of(template(m))).alias("t"), _hashes(words_of(plain(m))).alias("p"))
+    hashed = keyed.select("doc_id", "text_hash", let(marked(F.col("text")), both).alias("w")).select("doc_id", "text_hash", "w.t", "w.p")
+    last = F.size("t") - min(sizes)
+    placed = hashed.select("doc_id", "text_hash", "t", "p", each(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
+    found = [_window(F.col(c), F.col("at"), s).alias(f"{c}{s}") for s in sizes for c in ("t", "p")]
+    made = placed.select("doc_id", "text_hash", "at", *found)
+    differing = [F.when(F.col(f"p{s}") != F.col(f"t{s}"), F.col(f"p{s}")) for s in sizes]
+    return made.select("doc_id", "text_hash", "at", F.explode(F.array(*[F.col(f"t{s}") for s in sizes], *differing)).alias("h")).filter("h IS NOT NULL")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,32 +145,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     by_hash = F.broadcast(seeds) if seeds.count() <= BROADCAST_WINDOWS else seeds
 
     keyed = _keyed(docs, id_col, text_col)
-    exploded = keyed.select("doc_id", "text_hash", F.explode(_all_windows(F.col("text"), sizes)).alias("w")).select("doc_id", "text_hash", "w.h", "w.at")
-    placed = exploded.join(by_hash, "h").groupBy("doc_id", "text_hash", "class", "n", (F.col("at") - F.col("ipos")).alias("shift")).agg(F.sort_array(F.collect_set("ipos")).alias("places"))
+    placed = _all_windows(keyed, sizes).join(by_hash, "h").groupBy("doc_id", "text_hash", "class", "n", (F.col("at") - F.col("ipos")).alias("shift")).agg(F.sort_array(F.collect_set("ipos")).alias("places"))
     # Windows side by side cover what an alignment can match at most.
     size = F.least("n", F.lit(window))
     gained = F.aggregate(F.transform("places", lambda x, k: F.when(k == 0, size).otherwise(F.least(x - F.get("places", F.greatest(k - 1, F.lit(0))), size))), F.lit(0), lambda x, y: x + y)
     placed = placed.filter(gained >= F.least("n", F.lit(covered))).select("doc_id", "text_hash", "class", "shift")
-    found = placed.join(classed.select("class", "item_id"), "class").select("doc_id", "text_hash", "item_id", "shift").distinct()
+    found = placed.join(classed.select("class", "item_id"), "class").groupBy("doc_id", "text_hash", "item_id").agg(F.collect_set("shift").alias("shifts"))
     found = cut(found)
 
     wanted = cut(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     same = keyed["doc_id"].eqNullSafe(wanted["_id"]) & (keyed["text_hash"] == wanted["_hash"])
     texts = beside(keyed, wanted, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), words_of(marked(F.col("text"))).alias("doc_words"))
     rows = found.join(texts, found["doc_id"].eqNullSafe(texts["_id"]) & (found["text_hash"] == texts["_hash"])).drop("_id", "_hash")
-    item = items.select(F.col("item_id").alias("_item"), "marked_words", "n")
+    item = items.select(F.col("item_id").alias("_item"), "marked_words", F.col("n").alias("n_words"))
     rows = rows.join(item, F.col("item_id").eqNullSafe(F.col("_item")))
-    judged = rows.select("doc_id", "text_hash", "item_id", F.col("n").alias("n_words"), _aligned(F.col("doc_words"), F.col("marked_words"), F.col("shift"), F.least("n", F.lit(window))).alias("j"))
     need = F.least("n_words", F.lit(covered))
-    hits = judged.filter(((F.col("j.matched_words") >= need) & ~F.col("j.clash")) | (F.col("j.equal_words") >= need))
-    best = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(F.col("j.equal_words"), F.col("j.matched_words"), F.col("n_words"), F.col("j.changed_slots"))).alias("b"))
-    return best.select("doc_id", "text_hash", "item_id", "b.n_words", "b.matched_words", "b.equal_words", "b.changed_slots")
+    judged = F.transform("shifts", lambda x: _aligned(F.col("doc_words"), F.col("marked_words"), x, F.least("n_words", F.lit(window))))
+    hits = F.filter(judged, lambda j: ((j["matched_words"] >= need) & ~j["clash"]) | (j["equal_words"] >= need))
+    best = F.array_max(F.transform(hits, lambda j: F.struct(j["equal_words"].alias("equal_words"), j["matched_words"].alias("matched_words"), j["changed_slots"].alias("changed_slots"))))
+    found = rows.select("doc_id", "text_hash", "item_id", "n_words", each(F.array(best)).alias("b")).filter("b IS NOT NULL")
+    # An item's text may stand under its id twice.
+    found = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("b", "n_words")).alias("m"))
+    return found.select("doc_id", "text_hash", "item_id", "m.n_words", "m.b.matched_words", "m.b.equal_words", "m.b.changed_slots")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = cut(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col], F.lit(1)) == F.col("_hash"))
+    """The rows of ``docs`` that hold no item, with all their columns, whatever their names."""
+    i, h = fresh(docs, "id", "hash")
+    bad = cut(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct())
+    same = docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col], F.lit(1)) == F.col(h))
     return beside(docs, bad, same, "left_anti")
 
 
