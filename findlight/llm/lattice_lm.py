@@ -14,17 +14,13 @@ from pyspark.sql import functions as F
 from .common import kept_table, table
 
 START = "▁"
-#: Text that one chunk's dictionary is made of, at least (or the rest of a partition).
-CHUNK_BYTES = 32 << 20
-#: Rounds of expectation-maximization over the training words, and the weight, in pieces, of the vocabulary's own scores.
-ROUNDS = 2
-PRIOR_PIECES = 5000.0
-#: Taken off each training word's count and given to the vocabulary's pieces, to spell words.
+#: Half of the text that one chunk's dictionary is made of (or the rest of a partition); a chunk is what one task holds of texts.
+CHUNK_BYTES = 16 << 20
+#: Rounds of expectation-maximization over the distinct training words, and the weight, in pieces, of the vocabulary's own scores.
+ROUNDS = 3
+PRIOR_PIECES = 500.0
+#: Taken off each training word's count, as a piece of its own, and given to the vocabulary's pieces, to spell words.
 DISCOUNT = 0.65
-#: Registers (languages, say) that have counts of their own, at most: the most frequent in training; all others share one more.
-REGISTERS = 7
-#: Share of an earlier word of the same text among the pieces that may spell the next, after many words, and the words after which it has half of that.
-RECALL, RECALL_HALF = 0.2, 20.0
 
 
 @dataclass(frozen=True)
@@ -59,9 +55,17 @@ class Pieces:
                 out.append((i, i + 1, "", sum(self.byte[b] for b in s[i].encode("utf-8", "surrogatepass"))))
         return n, out
 
-    def log_probability(self, word: str) -> float:
-        """The forward recursion in log space: the log of the sum, over all segmentations, of the products of piece probabilities."""
+    def log_probability(self, word: str, whole: float | None = None, share: float = 0.0) -> float:
+        """The forward recursion in log space: the log of the sum, over all segmentations, of the products of piece probabilities.
+
+        ``whole`` is the log probability of the word as one piece of the corpus, if it is one; all other ways to spell
+        it share ``share`` (a log probability), which stands on the edges that begin the word.
+        """
         n, edges = self.edges(word)
+        if share:
+            edges = [(i, j, piece, p if i else p + share) for i, j, piece, p in edges]
+        if whole is not None:
+            edges = [(0, n, "", whole), *edges]
         return _forward(n, edges)[n]
 
 
@@ -122,11 +126,12 @@ def _model(piece: Mapping[str, float], byte: list[float], ends: float) -> Pieces
     return Pieces({p: math.log(w / total) for p, w in piece.items() if w > 0}, tuple(math.log(w / total) for w in byte), math.log((ends + 0.5) / total))
 
 
-def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS, prior: float = PRIOR_PIECES) -> Pieces:
-    """The pieces' probabilities after ``rounds`` over all training words ``(word, c)``, from the vocabulary's weights and towards them.
+def fit(words: DataFrame, path: str, rounds: int = ROUNDS, prior: float = PRIOR_PIECES) -> Pieces:
+    """The pieces' probabilities after ``rounds`` over the distinct training words of ``words (word, c)``, from the vocabulary's weights and towards them.
 
-    Each task adds up its words' expected counts and sends one row for each piece it met; the driver gets one
-    row for each piece of the vocabulary, which is fixed.
+    Each word counts once, as frequent ones are pieces themselves and the vocabulary is left with those that
+    are new. Each task adds up its words' expected counts and sends one row for each piece it met; the driver
+    gets one row for each piece of the vocabulary, which is fixed.
     """
     weight, byte = vocabulary(path)
     pieces = _model(weight, byte, 0.0)
@@ -135,23 +140,23 @@ def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS, prior: flo
         def work(batches, now=pieces):
             into, in_bytes = {}, [0.0] * 256
             for batch in batches:
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    expected(now, word, c, into, in_bytes)
+                for word in batch.column(0).to_pylist():
+                    expected(now, word, 1.0, into, in_bytes)
             names = [*into, *(f"<{b}>" for b in range(256))]
             uses = [*into.values(), *in_bytes]
             is_byte = [False] * len(into) + [True] * 256
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(is_byte), pa.array(uses, pa.float64())], names=["piece", "is_byte", "uses"])
 
-        found = words.filter("c > 0").select("word", "c").mapInArrow(work, "piece string, is_byte boolean, uses double")
+        found = words.filter("c > 0").select("word").mapInArrow(work, "piece string, is_byte boolean, uses double")
         uses = {(r.piece, r.is_byte): r.uses for r in found.groupBy("piece", "is_byte").agg(F.sum("uses").alias("uses")).collect()}
-        pieces = _model({p: w * prior + uses.get((p, False), 0.0) for p, w in weight.items()}, [w * prior + uses.get((f"<{b}>", True), 0.0) for b, w in enumerate(byte)], float(ends))
+        pieces = _model({p: w * prior + uses.get((p, False), 0.0) for p, w in weight.items()}, [w * prior + uses.get((f"<{b}>", True), 0.0) for b, w in enumerate(byte)], 0.0)
     return pieces
 
 
-def chunks(docs: DataFrame, registers: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs (doc_id, text, held_out, register)`` as chunks: for each a dictionary of its words with their counts in training texts of each of ``registers`` registers, and its texts as places in that dictionary.
+def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``docs (doc_id, text, held_out)`` as chunks: for each a dictionary of its words with their counts in training texts, and its texts as places in that dictionary.
 
-    Rows of kind 0: chunk, doc_id, held_out, places (32-bit little-endian). Rows of kind 1: chunk, place, word, n0, n1 and on.
+    Rows of kind 0: chunk, doc_id, held_out, places (32-bit little-endian). Rows of kind 1: chunk, place, word, c.
     """
 
     def work(batches):
@@ -160,40 +165,38 @@ def chunks(docs: DataFrame, registers: int, chunk_bytes: int = CHUNK_BYTES) -> D
 
         number = TaskContext.get().partitionId() << 24
         place: dict[bytes, int] = {}
-        counts = np.zeros((1 << 16, registers), np.int64)
+        counts = np.zeros(1 << 16, np.int64)
         texts: list = []
         size = 0
 
         def flush():
             nonlocal place, texts, size, number, counts
             n, m = len(texts), len(place)
-            none = lambda k, t: pa.nulls(k, t)
             if n:
                 ids, held, places = zip(*texts, strict=True)
-                yield made([0] * n, pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(places, pa.binary()), none(n, pa.int32()), none(n, pa.string()), *[none(n, pa.int64())] * registers)
+                yield made([0] * n, pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(places, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()))
             words = list(place)
             for at in range(0, m, 50_000):
-                part = words[at : at + 50_000]
+                part = [w.decode("utf-8", "surrogatepass") for w in words[at : at + 50_000]]
                 k = len(part)
-                yield made([1] * k, none(k, id_type), none(k, pa.bool_()), none(k, pa.binary()), pa.array(range(at, at + k), pa.int32()), pa.array([w.decode("utf-8", "surrogatepass") for w in part], pa.string()), *[pa.array(counts[at : at + k, r].copy(), pa.int64()) for r in range(registers)])
+                yield made([1] * k, pa.nulls(k, id_type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(range(at, at + k), pa.int32()), pa.array(part, pa.string()), pa.array(counts[at : at + k].copy(), pa.int64()))
             number += 1
-            place, texts, size, counts = {}, [], 0, np.zeros((1 << 16, registers), np.int64)
+            place, texts, size, counts = {}, [], 0, np.zeros(1 << 16, np.int64)
 
         def made(kind, *columns):
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([number] * len(kind), pa.int64()), *columns], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([number] * len(kind), pa.int64()), *columns], names=["kind", "chunk", "doc_id", "held_out", "places", "place", "word", "c"])
 
-        names = ["kind", "chunk", "doc_id", "held_out", "places", "place", "word", *(f"n{r}" for r in range(registers))]
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc_id, text, held, register in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for doc_id, text, held in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 got = np.fromiter((place.setdefault(w, len(place)) for w in data), np.uint32, len(data))
                 if len(place) > len(counts):
-                    counts = np.concatenate([counts, np.zeros((max(len(counts), len(place)), registers), np.int64)])
+                    counts = np.concatenate([counts, np.zeros(max(len(counts), len(place)), np.int64)])
                 if not held.as_py() and len(got):
                     where, times = np.unique(got, return_counts=True)
-                    counts[where, register] += times
+                    counts[where] += times
                 texts.append((doc_id.as_py(), held.as_py(), got.astype("<u4").tobytes()))
                 size += sum(map(len, data)) + 8 * len(data) + 8
                 if size >= 2 * chunk_bytes:
@@ -201,108 +204,75 @@ def chunks(docs: DataFrame, registers: int, chunk_bytes: int = CHUNK_BYTES) -> D
         yield from flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbers = ", ".join(f"n{r} long" for r in range(registers))
-    return docs.select("doc_id", "text", "held_out", "register").mapInArrow(work, f"kind int, chunk long, doc_id {kind}, held_out boolean, places binary, place int, word string, {numbers}")
-
+    return docs.select("doc_id", "text", "held_out").mapInArrow(work, f"kind int, chunk long, doc_id {kind}, held_out boolean, places binary, place int, word string, c long")
 
-def word_weights(spelled, counts, total: int, kinds: int):
-    """Natural logs of words' probabilities in one register: as a piece of the corpus with its discounted count, or spelled by the vocabulary's pieces, all segmentations together (``spelled``)."""
-    import numpy as np
-
-    if not kinds:
-        return spelled
-    whole = np.log(np.maximum(counts - DISCOUNT, 1e-300) / total)
-    return np.logaddexp(whole, spelled + math.log(DISCOUNT * kinds / total))
 
+@dataclass(frozen=True)
+class Shares:
+    """What the next of ``words`` words and ``ends`` ends in training is: a word of its own piece, one that is spelled, or the end. With half a count each for what was never seen, they add up to 1."""
 
-def earlier(at):
-    """For each of a text's words, by its place in the dictionary, how often the text has had it already."""
-    import numpy as np
+    words: int
+    kinds: int
+    ends: int
 
-    n = len(at)
-    order = np.argsort(at, kind="stable")
-    first = np.concatenate(([True], at[order][1:] != at[order][:-1])) if n else np.zeros(0, bool)
-    starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    out = np.empty(n)
-    out[order] = np.arange(n) - starts
-    return out
+    @property
+    def _all(self) -> float:
+        return self.words + self.ends + 1.0
 
+    def whole(self, count: int) -> float | None:
+        """The log probability of a training word as one piece."""
+        return math.log((count - DISCOUNT) / self._all) if count else None
 
-def recalled(before, weights):
-    """Natural logs of the probabilities of a text's words, given those before: ``weights`` of each, mixed with its share among the earlier words."""
-    import numpy as np
+    @property
+    def spelled(self) -> float:
+        return math.log((DISCOUNT * self.kinds + 0.5) / self._all)
 
-    k = np.arange(len(before), dtype=float)
-    share = RECALL * k / (k + RECALL_HALF)
-    return np.logaddexp(np.log1p(-share) + weights, np.log(np.maximum(share * before / np.maximum(k, 1), 1e-300)))
+    @property
+    def end(self) -> float:
+        return math.log((self.ends + 0.5) / self._all)
 
 
-def score(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs (doc_id, text, held_out)`` -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts are lowered (A-Z) and parted at white space; a token is a word or the text's end. base_score is the
     add-one unigram's over the words of the rows with held_out false; score is the log10 probability that pieces
     drawn one by one until the end spell the text's words, whatever the segmentation. A piece is one of the
-    vocabulary, a whole word of the rows learned from, or an earlier word of the text; whole words have weights
-    of their own in each ``register`` (a column that may be missing), and a text's probability is the sum over
-    all registers, its own isn't looked at. Only rows with held_out false are learned from. Each distinct word's lattice is computed once, whatever the number of texts it is in.
+    vocabulary or a whole word of the rows learned from. Only rows with held_out false are learned from. No piece
+    goes over a word's border, so the recursion over a text is the product of those over its words, and each
+    distinct word's lattice is computed once, whatever the number of texts it is in.
 
     A null, empty or blank text is its end alone. Without training rows N, V and all counts are 0. Repeated rows
     are rows of their own; other columns don't matter; an empty table gives no rows.
     """
-    named = docs.withColumn("register", F.coalesce(F.col("register").cast("string"), F.lit(""))) if "register" in docs.columns else docs.withColumn("register", F.lit(""))
-    ends = named.filter("NOT held_out").groupBy("register").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "register")
-    own = [r.register for r in ends.limit(REGISTERS).collect()]
-    which = F.lit(len(own))
-    for k, name in enumerate(own):
-        which = F.when(F.col("register") == name, k).otherwise(which)
-    n_registers = len(own) + 1
-    numbered = named.withColumn("register", which)
-    ends_of = {r.register: r.n for r in numbered.filter("NOT held_out").groupBy("register").agg(F.count("*").alias("n")).collect()}
-    ends_in = [ends_of.get(r, 0) for r in range(n_registers)]
-
-    parts = kept_table(chunks(numbered, n_registers), "kind")
-    columns = [f"n{r}" for r in range(n_registers)]
+    all_ends = docs.filter("NOT held_out").count()
+    parts = kept_table(chunks(docs, chunk_bytes), "kind")
     texts = parts.filter("kind = 0").select("chunk", "doc_id", "held_out", "places")
-    listed = parts.filter("kind = 1").select("chunk", "place", "word", *columns)
-    words = listed.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
-    words = kept_table(words.withColumn("c", sum((F.col(c) for c in columns), F.lit(0).cast("long"))))
-    tallies = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("c", *columns)], *[F.count(F.when(F.col(c) > 0, 1)) for c in ("c", *columns)]).first()
-    n_words, *words_in = tallies[: n_registers + 1]
-    v_words, *kinds_in = tallies[n_registers + 1 :]
-    all_ends = sum(ends_in)
+    listed = parts.filter("kind = 1").select("chunk", "place", "word", "c")
+    words = kept_table(listed.groupBy("word").agg(F.sum("c").alias("c")))
+    n_words, v_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     total, kinds = n_words + all_ends, v_words + (all_ends > 0)
-    pieces = fit(words, all_ends, vocabulary_path, rounds)
+    pieces, shares = fit(words, vocabulary_path, rounds), Shares(n_words, v_words, all_ends)
 
     def weigh(batches):
         for batch in batches:
-            found = [pieces.log_probability(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "lp"])
+            found = [pieces.log_probability(w, shares.whole(c), shares.spelled) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=["word", "c", "lp"])
 
-    weighed = words.select("word", *columns).mapInArrow(weigh, ", ".join(["word string", *(f"{c} long" for c in columns), "lp double"]))
-    known = listed.select("chunk", "place", "word").join(weighed, "word").select(F.col("chunk").alias("in_chunk"), "place", *columns, "lp")
-    # A register's weight, and its end's, by its texts and tokens.
-    prior = [math.log((e + 0.5) / (all_ends + 0.5 * n_registers)) for e in ends_in]
-    end = [math.log((e + 0.5) / (e + w + 1)) for e, w in zip(ends_in, words_in, strict=True)]
-    used = [r for r in range(n_registers) if ends_in[r]] or [n_registers - 1]
+    weighed = words.select("word", "c").mapInArrow(weigh, "word string, c long, lp double")
+    known = listed.select("chunk", "place", "word").join(weighed, "word").select(F.col("chunk").alias("in_chunk"), "place", "c", "lp")
 
     def add_up(key, left, right):
         import numpy as np
 
         place = right.column("place").to_numpy()
-        c, lp = np.zeros((len(place), n_registers)), np.zeros(len(place))
-        for r, name in enumerate(columns):
-            c[place, r] = right.column(name).to_numpy()
-        lp[place] = right.column("lp").to_numpy()
-        all_c = c.sum(axis=1)
-        weights = [word_weights(lp, c[:, r], words_in[r] + ends_in[r], kinds_in[r]) for r in used]
-        base, hit, bottom = np.log10(all_c + 1), (all_c > 0).astype(np.int64), math.log10(total + kinds + 1)
+        c, lp = np.zeros(len(place)), np.zeros(len(place))
+        c[place], lp[place] = right.column("c").to_numpy(), right.column("lp").to_numpy()
+        base, hit, bottom = np.log10(c + 1), (c > 0).astype(np.int64), math.log10(total + kinds + 1)
         out: list = [[], [], [], []]
         for places in left.column("places"):
             at = np.frombuffer(places.as_buffer(), "<u4")
-            before = earlier(at)
-            texts = [prior[r] + float(recalled(before, w[at]).sum()) + end[r] for r, w in zip(used, weights, strict=True)]
-            row = (len(at) + 1, int(hit[at].sum()) + (all_ends > 0), float(base[at].sum()) + math.log10(all_ends + 1) - (len(at) + 1) * bottom, float(np.logaddexp.reduce(texts)) / math.log(10))
+            row = (len(at) + 1, int(hit[at].sum()) + (all_ends > 0), float(base[at].sum()) + math.log10(all_ends + 1) - (len(at) + 1) * bottom, (float(lp[at].sum()) + shares.end) / math.log(10))
             for column, x in zip(out, row, strict=True):
                 column.append(x)
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -314,10 +284,10 @@ def score(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> DataFr
     return both.applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", register_col: str | None = "lang", folds: int = 7, fold: int = 2) -> DataFrame:
-    """``docs`` as (doc_id, text, held_out, register): held out where crc32 of the id's text, mod ``folds``, is ``fold`` (a null id's text is empty)."""
+def held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
+    """``docs`` as (doc_id, text, held_out): held out where crc32 of the id's text, mod ``folds``, is ``fold`` (a null id's text is empty)."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.crc32(name.cast("binary")) % folds == fold).alias("held_out"), (F.col(register_col) if register_col else F.lit("")).alias("register"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.crc32(name.cast("binary")) % folds == fold).alias("held_out"))
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:

@@ -58,22 +58,28 @@ def test_very_long_words_and_a_real_vocabulary():
     assert sum(map(math.exp, pieces.piece.values())) + sum(map(math.exp, pieces.byte)) + math.exp(pieces.end) == pytest.approx(1.0)
 
 
-def test_recall_against_a_loop():
-    at, w = np.array([3, 1, 3, 3, 2, 1]), np.log(np.array([0.1, 0.2, 0.1, 0.1, 0.3, 0.2]))
-    want, seen = [], Counter()
-    for k, x in enumerate(at.tolist()):
-        mu = lm.RECALL * k / (k + lm.RECALL_HALF)
-        want.append(math.log((1 - mu) * math.exp(w[k]) + mu * (seen[x] / k if k else 0)))
-        seen[x] += 1
-    assert lm.recalled(lm.earlier(at), w) == pytest.approx(want)
-
-
-def test_word_weights_add_up():
-    import numpy as np
-
-    got = lm.word_weights(np.log(np.array([0.25, 0.5])), np.array([3.0, 0.0]), 10, 4)
-    share = lm.DISCOUNT * 4 / 10
-    assert np.exp(got) == pytest.approx([(3 - lm.DISCOUNT) / 10 + share * 0.25, share * 0.5])
+def test_shares_add_up_and_stand_in_the_lattice():
+    pieces, shares = toy(), lm.Shares(10, 4, 3)
+    assert sum(math.exp(shares.whole(c)) for c in (3, 3, 2, 2)) + math.exp(shares.spelled) + math.exp(shares.end) == pytest.approx(1.0)
+    for word, c in (("ab", 3), ("abba", 0), ("", 2)):
+        want = math.exp(shares.spelled) * brute(pieces, word) + (math.exp(shares.whole(c)) if c else 0.0)
+        assert math.exp(pieces.log_probability(word, shares.whole(c), shares.spelled)) == pytest.approx(want, rel=1e-12)
+
+
+def test_scores_of_whole_texts_against_all_segmentations(spark):
+    texts = ["ab abc ab", "the cat", "xy zé the", "", "A the\tcat\u3000x the"]
+    rows = [(i, t, i == 2) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    counts = Counter(w for i, t in enumerate(texts) if i != 2 for w in words_of(t))
+    pieces = lm.fit(spark.createDataFrame(list(counts.items()), "word string, c long"), lm.vocabulary_path(), 2)
+    shares = lm.Shares(sum(counts.values()), len(counts), 4)
+    # Few rows to a chunk, so that several chunks meet.
+    got = {r.doc_id: r.score for r in lm.score(docs, lm.vocabulary_path(), 2, chunk_bytes=8).collect()}
+    for i, t in enumerate(texts):
+        p = math.exp(shares.end)
+        for w in words_of(t):
+            p *= math.exp(shares.spelled) * brute(pieces, w) + (math.exp(shares.whole(counts[w])) if counts[w] else 0.0)
+        assert got[i] == pytest.approx(math.log10(p), rel=1e-9)
 
 
 def test_a_table_against_plain_counts(spark, sf):
