@@ -38,8 +38,10 @@ def _repeat_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(let(numbered, covered))
 
     def windows(hashes: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
-        return F.when(F.size(hashes) < WINDOW, 0).otherwise(let(made, repeats))
+        # A window of eight words is hashed as two of four, and these as two of two.
+        doubled = lambda h, k: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + k)))
+        eight = let(doubled(hashes, 1), lambda two: let(doubled(two, 2), lambda four: doubled(four, 4)))
+        return F.when(F.size(hashes) < WINDOW, 0).otherwise(let(F.slice(eight, F.lit(1), F.size(hashes) - (WINDOW - 1)), repeats))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
