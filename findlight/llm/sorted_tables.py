@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import beside, cut, shared_dir, table
 
 # Fixed values of the file format. A file is a row of parts, each followed by one byte 0x0A:
 #   data blocks  zstd of entries (shared key bytes, own key bytes, value bytes: varints; own key; value)
@@ -21,6 +21,7 @@ from .common import cut, shared_dir, table
 #   footer       FOOTER below
 MAGIC = b"FLSST001"
 FOOTER = struct.Struct("<QQQQQQQIB3x8s")  # index at, length; filter at, length; entries, ids, block bytes; shard; id width; magic
+# Keys: the empty one for null; 8 bytes for a whole number, which its order needs; 0x74 and UTF-8 bytes for a text.
 BLOCK_BYTES = 64 << 10
 BITS_A_KEY = 10
 HASHES = 7
@@ -28,13 +29,20 @@ HASHES = 7
 SHARD_BYTES = 32 << 20
 
 
-def key_of(doc_id: int | None) -> bytes:
+TEXT_KEY = b"t"
+
+
+def key_of(doc_id: int | str | None) -> bytes:
     """Bytes in whose order the ids ascend; null is the empty key, before all others."""
-    return b"" if doc_id is None else (doc_id + (1 << 63)).to_bytes(8, "big")
+    if doc_id is None:
+        return b""
+    return TEXT_KEY + doc_id.encode("utf-8", "surrogatepass") if isinstance(doc_id, str) else (doc_id + (1 << 63)).to_bytes(8, "big")
 
 
-def id_of(key: bytes) -> int | None:
-    return int.from_bytes(key, "big") - (1 << 63) if key else None
+def id_of(key: bytes, text: bool = False) -> int | str | None:
+    if not key:
+        return None
+    return key[1:].decode("utf-8", "surrogatepass") if text else int.from_bytes(key, "big") - (1 << 63)
 
 
 def _varint(n: int) -> bytes:
@@ -176,17 +184,23 @@ class Shard:
         return out
 
 
+def _text_ids(docs: DataFrame, id_col: str) -> bool:
+    return docs.schema[id_col].dataType.typeName() == "string"
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encodes every whole text, ``end_id`` after each, and writes shard files below ``path`` in ascending id order.
 
-    Rows are dealt by ranges of the id (and of the text's hash, which parts the rows of a much repeated id) and
-    sorted where they land; a task streams its rows into one file, through Spark's own writer, so any store that
-    Spark writes to will do. A null text is the end id alone, a null id comes first, repeated rows stay.
+    Ids are whole numbers or texts, and a table's are all of one kind. Rows are dealt by ranges of the id (and of
+    the text's hash and a seeded number, which part the rows of a much repeated id) and sorted where they land; a
+    task streams its rows into one file, through Spark's own writer, so any store that Spark writes to will do. A
+    null text is the end id alone, a null id comes first, repeated rows stay. Other columns don't matter.
     """
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)) + 32)).first()[0] or 0
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(int(-(-total // shard_bytes)) or 1, *order).sortWithinPartitions(*order)
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 32)).first()[0] or 0
+    doc_id = F.col(id_col) if _text_ids(docs, id_col) else F.col(id_col).cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.rand(11).alias("deal"))
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "deal"]
+    ranged = rows.repartitionByRange(int(-(-total // shard_bytes)) or 1, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def work(batches):
         from pyspark import TaskContext
@@ -208,8 +222,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
     ranged.mapInArrow(work, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
-def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of each document in the files below ``path``.
+def _offsets(shards: DataFrame, run: int = 1024) -> DataFrame:
+    """``(shard, offset)``: the sum of ``all`` over the shards before, within runs of ``run`` shards and over the runs before."""
+    runs = shards.groupBy(F.floor(F.col("shard") / run).alias("run")).agg(F.sum("all").alias("of_run"))
+    runs = runs.select("run", (F.sum("of_run").over(Window.orderBy("run")) - F.col("of_run")).alias("from"))
+    within = shards.select("shard", F.floor(F.col("shard") / run).alias("run"), (F.sum("all").over(Window.partitionBy(F.floor(F.col("shard") / run)).orderBy("shard")) - F.col("all")).alias("before"))
+    return within.join(runs, "run").select("shard", (F.col("before") + F.col("from")).alias("offset"))
+
+
+def read_back(spark: SparkSession, path: str, text_ids: bool = False) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of each document in the files below ``path``; ``text_ids``: their ids are texts.
 
     start counts the ids of all documents before it, in this file and in those of lower keys; the checksum is of
     the ids as 32-bit little-endian integers.
@@ -227,16 +249,16 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 rows: tuple[list, ...] = ([], [], [], [])
                 for key, before, value in shard:
                     ids = np.frombuffer(value, f"<u{shard.width}")
-                    for column, x in zip(rows, (id_of(key), before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                    for column, x in zip(rows, (id_of(key, text_ids), before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                         column.append(x)
                 shards = pa.array([shard.shard] * len(rows[0]), pa.int32())
-                yield pa.RecordBatch.from_arrays([shards, *(pa.array(x, pa.int64()) for x in rows)], names=["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
+                ids = pa.array(rows[0], pa.string() if text_ids else pa.int64())
+                yield pa.RecordBatch.from_arrays([shards, ids, *(pa.array(x, pa.int64()) for x in rows[1:])], names=["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = cut(files.mapInArrow(work, "shard int, doc_id long, before long, n_tokens long, ids_crc32 long"))
-    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
-    offsets = shards.select("shard", (F.sum("all").over(Window.orderBy("shard")) - F.col("all")).alias("offset"))
-    return rows.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    kind = "string" if text_ids else "long"
+    rows = cut(files.mapInArrow(work, f"shard int, doc_id {kind}, before long, n_tokens long, ids_crc32 long"))
+    return beside(rows, cut(_offsets(rows.groupBy("shard").agg(F.sum("n_tokens").alias("all")))).withColumnRenamed("shard", "_shard"), F.col("shard") == F.col("_shard")).select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -250,7 +272,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> Da
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
     write(docs, path, tokenizer or tokenizer_path(), end_id)
-    return read_back(spark, path)
+    return read_back(spark, path, _text_ids(docs, "doc_id"))
 
 
 def op9_sorted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
