@@ -28,6 +28,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+
+
 def each(values: Column) -> Column:
     """``values`` one by one, and one null for an empty array, which the caller drops.
 
@@ -43,11 +48,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests in local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on one machine (tests in local mode)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not context.isLocal():
+                raise RuntimeError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="findlight-"))
         at = context.getCheckpointDir().get()
     return at.rstrip("/")

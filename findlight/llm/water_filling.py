@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import beside, cut, fresh, table, words_of
+from .common import beside, cut, fresh, table, word_count
 
-#: Slices of a source's hash range, and rows that a slice has at least; only the slice where a source's fraction ends is ordered row by row.
-SLICES = 4096
+#: Slices of a source's hash range at most (a power of two), and rows that a slice has at least; only the slice where a source's fraction ends is ordered row by row.
+SLICE_BITS = 20
 SLICE_ROWS = 512
 SEED = "mix-1"
 
@@ -70,14 +70,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     A null text has size 0. Rows of null source are a source, the last. Rows that repeat id, source and size are
     taken alike. A source without words has target 0. An empty table gives no rows.
     """
-    name = fresh(docs, "mixed")[0]
-    size = F.size(words_of(F.col(text_col))).cast("long")
+    name, size_, hash_, d_, x_ = fresh(docs, "mixed", "_size", "_hash", "_d", "_x")
+    size = word_count(F.col(text_col))
     key = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_s"), size.alias("_size"))
     key = key.withColumn("_hash", F.xxhash64(F.lit(seed), "_id", "_s", "_size"))
     units = cut(key.groupBy("_s", "_hash", "_id", "_size").agg((F.count("*") * F.col("_size")).alias("bulk")))
-    units = units.withColumn("_fine", F.pmod("_hash", F.lit(SLICES)).cast("int"))
-    fine = cut(units.groupBy("_s", "_fine").agg(F.sum("bulk").alias("bulk"), F.count("*").alias("n")))
-    sources = fine.groupBy(F.col("_s").alias("source")).agg(F.sum("bulk").alias("source_size"), F.sum("n").alias("n"))
+    sources = units.groupBy(F.col("_s").alias("source")).agg(F.sum("bulk").alias("source_size"), F.count("*").alias("n"))
     sources = cut(weigh_in_turn(sources)).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
     everything = sources.agg(F.sum("source_size")).first()[0] or 0
     level = water_level(sources.filter("source_size > 0").select("weight", "cap"), everything * total)
@@ -86,32 +84,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(0).cast("int"))
     sources = sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     # Slices of the hash range: a power of two of them, each with some hundred rows at least.
-    per = F.greatest(F.lit(0), F.least(F.lit(12), F.floor(F.log2(F.col("n") / F.lit(SLICE_ROWS))).cast("int")))
-    sources = cut(sources.withColumn("_div", F.pow(F.lit(2), F.lit(12) - per).cast("int"))).withColumnRenamed("source", "_src")
+    per = F.greatest(F.lit(0), F.least(F.lit(SLICE_BITS), F.floor(F.log2(F.col("n") / F.lit(SLICE_ROWS))).cast("int")))
+    sources = cut(sources.withColumn("_div", F.pow(F.lit(2), F.lit(SLICE_BITS) - per).cast("int"))).withColumnRenamed("source", "_src")
+    slice_of = lambda h, div: F.floor(F.pmod(h, F.lit(1 << SLICE_BITS)) / div).cast("int")
 
-    same = F.col("_s").eqNullSafe(F.col("_src"))
-    coarse = fine.join(sources, same).withColumn("_slice", F.floor(F.col("_fine") / F.col("_div")).cast("int"))
-    coarse = coarse.groupBy("_src", "_slice").agg(F.sum("bulk").alias("bulk"), F.first("rest").alias("rest"))
+    sliced = beside(units, sources.select("_src", "_div", "rest"), F.col("_s").eqNullSafe(F.col("_src"))).withColumn("_slice", slice_of(F.col("_hash"), F.col("_div")))
+    coarse = sliced.groupBy("_src", "_slice").agg(F.sum("bulk").alias("bulk"), F.first("rest").alias("rest"))
     coarse = coarse.withColumn("_from", F.sum("bulk").over(Window.partitionBy("_src").orderBy("_slice")) - F.col("bulk"))
     edges = coarse.filter((F.col("_from") <= F.col("rest")) & (F.col("_from") + F.col("bulk") > F.col("rest")))
     edges = edges.groupBy(F.col("_src").alias("_esrc")).agg(F.min("_slice").alias("_edge"), F.min_by(F.col("rest") - F.col("_from"), "_slice").alias("need"))
     dealt = cut(sources.join(edges, F.col("_src").eqNullSafe(F.col("_esrc")), "left").drop("_esrc"))
 
-    slice_ = F.floor(F.col("_fine") / F.col("_div")).cast("int")
-    edge = beside(units, dealt.select("_src", "_edge", "_div", "need"), same).filter(slice_ == F.col("_edge"))
+    edge = beside(units, dealt.select("_src", "_edge", "_div", "need"), F.col("_s").eqNullSafe(F.col("_src"))).filter(slice_of(F.col("_hash"), F.col("_div")) == F.col("_edge"))
     extra = cut(_fill(edge.select("_s", "_hash", "_id", "_size", "bulk", "need")))
-    extra = extra.select(F.col("_s").alias("_xs"), F.col("_hash").alias("_xh"), F.col("_id").alias("_xi"), F.col("_size").alias("_xz"), F.lit(1).alias("_more"))
-
-    rows = docs.withColumns({"_mx_size": size}).withColumn("_mx_hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col("_mx_size")))
-    d = dealt.select("_src", "source_size", "target", "whole", "_edge", "_div").select(F.struct("*").alias("_d"))
-    rows = beside(rows, d, rows[source_col].eqNullSafe(F.col("_d._src")))
-    x = extra.select(F.struct("*").alias("_x"))
-    match = (F.col("_mx_hash") == F.col("_x._xh")) & rows[id_col].eqNullSafe(F.col("_x._xi")) & rows[source_col].eqNullSafe(F.col("_x._xs")) & (F.col("_mx_size") == F.col("_x._xz"))
-    rows = beside(rows, x, match, "left")
-    at = F.floor(F.pmod(F.col("_mx_hash"), F.lit(SLICES)) / F.col("_d._div"))
-    more = F.when(F.col("_x").isNotNull(), 1).when(F.col("_d._edge").isNotNull() & (at < F.col("_d._edge")), 1).otherwise(0)
-    times = (F.col("_d.whole") + more).cast("int")
-    made = F.struct(F.col("_mx_size").alias("size"), F.col("_d.source_size").alias("source_size"), F.col("_d.target").alias("target"), times.alias("repetitions"), (F.col("_mx_size") * times).alias("taken"))
+
+    rows = docs.withColumns({size_: size}).withColumn(hash_, F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(size_)))
+    part = lambda whole, *names: [F.col(f"{whole}.{n}") for n in names]
+    of_source = dealt.select(F.struct("_src", "source_size", "target", "whole", "_edge", "_div").alias(d_))
+    source, source_size, target, whole, at_edge, div = part(d_, "_src", "source_size", "target", "whole", "_edge", "_div")
+    rows = beside(rows, of_source, docs[source_col].eqNullSafe(source))
+    h, i, s, z = part(x_, "_hash", "_id", "_s", "_size")
+    match = (F.col(hash_) == h) & docs[id_col].eqNullSafe(i) & docs[source_col].eqNullSafe(s) & (F.col(size_) == z)
+    rows = beside(rows, extra.select(F.struct("*").alias(x_)), match, "left")
+    more = F.when(F.col(x_).isNotNull(), 1).when(at_edge.isNotNull() & (slice_of(F.col(hash_), div) < at_edge), 1).otherwise(0)
+    times = (whole + more).cast("int")
+    made = F.struct(F.col(size_).alias("size"), source_size.alias("source_size"), target.alias("target"), times.alias("repetitions"), (F.col(size_) * times).alias("taken"))
     return rows.withColumn(name, made).select(*docs.columns, name)
 
 
