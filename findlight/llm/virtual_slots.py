@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 
 #: The number of slots never changes; the map has one entry for each, so it is bounded whatever the input.
 SLOTS = 8192
@@ -114,11 +116,12 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     """One row for each of ``docs``: doc_id, size, text_crc32, shard, virtual_slot, and slot, its place in the shard from 0 without gaps.
 
     Sizes of shards are near equal: slots are dealt by their bytes (law ``bytes``), and a slot is small beside a
-    shard because ids, not sources or texts, decide the slot. A null text has size 1 and checksum 0; a null id has
-    a slot like any id; rows that repeat an id share a slot and have places of their own. An empty table gives no
-    rows. Other columns of ``docs`` don't matter.
+    shard because ids, not sources or texts, decide the slot. That takes ids that are nearly unique: rows that repeat
+    an id share a slot, with places of their own, and a slot is never parted, so an id that a good part of all rows
+    had would make its shard that much larger. A null text has size 1 and checksum 0; a null id has a slot like any
+    id. An empty table gives no rows. Other columns of ``docs`` don't matter.
     """
-    sizes = slot_sizes(docs, id_col, text_col, slots)
+    sizes = slot_sizes(docs, id_col, text_col, len(slot_map.shard_of) if slot_map else slots)
     slot_map = slot_map or build(sizes, shards, slots)
     rows, before, base = {slot: n for slot, n, _ in sizes}, [0] * slot_map.shards, []
     for slot, shard in enumerate(slot_map.shard_of):
@@ -130,6 +133,21 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     return placed.withColumn("slot", F.get(_constant(base, "bigint"), F.col("virtual_slot")) + F.row_number().over(within) - 1)
 
 
+def stored(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> SlotMap:
+    """The latest map below ``path``; where there is none, the first one is built and saved, and where it has another number of shards, an edited one."""
+    spark = docs.sparkSession
+    try:
+        latest = SlotMap.load(spark, path)
+    except AnalysisException:  # nothing there yet
+        build(slot_sizes(docs, id_col, text_col, slots), shards, slots).save(spark, path)
+        return SlotMap.load(spark, path)
+    if latest.shards != shards:
+        rebalance(latest, slot_sizes(docs, id_col, text_col, len(latest.shard_of)), shards).save(spark, path)
+        return SlotMap.load(spark, path)
+    return latest
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = sharded(table(spark, sf_dir, "documents"), 8)
+    docs = table(spark, sf_dir, "documents")
+    made = sharded(docs, slot_map=stored(docs, f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}", 8))
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

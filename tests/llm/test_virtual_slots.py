@@ -45,3 +45,17 @@ def test_map_is_versioned_and_rebalancing_moves_little(spark, tmp_path):
     assert vs.SlotMap.load(spark, str(tmp_path / "map"), 1) == first
     with pytest.raises(Exception, match="exists"):
         first.save(spark, str(tmp_path / "map"))
+
+
+def test_a_stored_map_is_kept_and_edited(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 50), "s") for i in range(3000)], "doc_id long, text string, shard string")
+    path = str(tmp_path / "map")
+    first = vs.stored(docs, path, 4, slots=64)
+    assert (first.version, first.shards) == (1, 4) and vs.stored(docs, path, 4, slots=64) == first
+    grown = vs.stored(docs, path, 5, slots=64)
+    moved = [b for a, b in zip(first.shard_of, grown.shard_of, strict=True) if a != b]
+    assert (grown.version, grown.shards) == (2, 5) and 4 in moved and len(moved) < 32
+    assert vs.SlotMap.load(spark, path, 1) == first
+    at = {r.doc_id: r.shard for r in vs.sharded(docs, slot_map=grown).collect()}
+    before = {r.doc_id: r.shard for r in vs.sharded(docs, slot_map=first).collect()}
+    assert len(at) == 3000 and sum(at[i] != before[i] for i in at) < 1500 and {at[i] for i in at} == set(range(5))
