@@ -99,7 +99,7 @@ class Catalog:
         out = None
         for n in names:
             c = self.get(n)
-            hits = c.search(request).hits.select(F.col(c.schema.id).cast("string").alias("id"), "score", F.lit(n).alias("collection"))
+            hits = c.search(request).hits.select(F.col(c.schema.id).cast("string").alias("id"), F.col(c.score).alias("score"), F.lit(n).alias("collection"))
             out = hits if out is None else out.unionByName(hits)
         return out.orderBy(F.col("score").desc(), "id", "collection").limit(request.limit)
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 # Characters of a token, stop words, suffixes and digits.
 TOKEN_CLASS = r"\p{L}\p{Nd}_\-@."
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "of", "on", "or", "the")
+STOP_WORDS = ("a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were")
 SUFFIXES = ("ingly", "edly", "ing", "ed", "ies", "s")
+CJK_BLANKS = (" ", "\t", "\n", "\r")
 NEPALI = ("०१२३४५६७८९।", "0123456789 ")
 
 
@@ -51,10 +52,16 @@ def nepali(c: Column) -> Column:
 
 
 def cjk(c: Column) -> Column:
-    """Each character that isn't white space, lowered, and after it the pair with the next such one."""
-    chars = F.array(F.filter(F.split(F.lower(c), ""), lambda x: (x != "") & ~x.rlike(r"(?U)^\s$")))
-    pairs = lambda x: F.flatten(F.transform(x, lambda ch, i: F.when(i < F.size(x) - 1, F.array(ch, F.concat(ch, F.get(x, i + 1)))).otherwise(F.array(ch))))
-    return F.get(F.transform(chars, pairs), F.lit(0))
+    """Each character but blanks, tabs and line ends, lowered, and after it the pair with the very next character if that is none of these either."""
+    blank = lambda x: x.isin(*CJK_BLANKS)
+
+    def pairs(x: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(x, i + 1), F.lit(" "))
+        made = F.transform(x, lambda ch, i: F.when(blank(ch), F.array().cast("array<string>")).when(blank(after(i)), F.array(ch)).otherwise(F.array(ch, F.concat(ch, after(i)))))
+        return F.flatten(made)
+
+    chars = F.array_remove(F.split(F.lower(c), ""), "")
+    return F.get(F.transform(F.array(chars), pairs), F.lit(0))
 
 
 def grams(c: Column, least: int, most: int) -> Column:
@@ -82,8 +89,7 @@ def literal_tokens(text: str, name: str = "standard") -> list[str]:
     """The tokens of a query literal under a built-in analyzer."""
     t = text if name == "cased" else text.lower()
     if name == "cjk":
-        chars = [c for c in t if not c.isspace()]
-        return [x for i, c in enumerate(chars) for x in ([c, c + chars[i + 1]] if i + 1 < len(chars) else [c])]
+        return [x for i, c in enumerate(t) if c not in CJK_BLANKS for x in ([c, c + t[i + 1]] if i + 1 < len(t) and t[i + 1] not in CJK_BLANKS else [c])]
     if name == "nepali":
         t = t.translate(str.maketrans(*NEPALI))
     ok = lambda ch: ch in "_-@." or unicodedata.category(ch)[0] == "L" or unicodedata.category(ch) == "Nd"

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 class Bloom:
-    """A filter of ``bits`` bits and ``hashes`` hashes, built by one aggregation; no false negatives."""
+    """A filter of ``bits`` bits and ``hashes`` hashes, built by one aggregation; no false negatives.
 
-    def __init__(self, bits: int = 1024, hashes: int = 3, words: list[int] | None = None):
-        self.bits, self.hashes, self.words = bits, hashes, words or [0] * -(-bits // 63)
+    Its words stay a table of one row, which is broadcast where the filter is used; the driver doesn't see them. Its
+    size is chosen by its maker, not by the rows: 10 bits an item for one false positive in a hundred.
+    """
+
+    def __init__(self, bits: int = 1024, hashes: int = 3, table: DataFrame | None = None):
+        self.bits, self.hashes, self.table = bits, hashes, table
 
     @staticmethod
     def sized(items: int, false_positives: float = 0.01) -> Bloom:
@@ -24,17 +28,18 @@ class Bloom:
         return F.array(*[F.pmod(h1 + F.shiftleft(F.pmod(h2, F.lit(1 << 40)), 1) * k, F.lit(self.bits)) for k in range(self.hashes)])
 
     def of(self, df: DataFrame, column: str) -> Bloom:
-        """With a column's values in it: at most one row for each word of the filter comes to the driver."""
-        places = df.select(F.explode(self._places(F.col(column))).alias("p")).filter("p IS NOT NULL")
+        """With a column's values in it; nulls aren't."""
+        places = df.select(F.explode_outer(F.when(F.col(column).isNotNull(), self._places(F.col(column)))).alias("p")).filter("p IS NOT NULL")
         words = places.groupBy(F.floor(F.col("p") / 63).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 63 AS INT))")).alias("b"))
-        made = Bloom(self.bits, self.hashes)
-        for r in words.collect():
-            made.words[r.w] |= r.b
-        return made
+        every = df.sparkSession.range(0, -(-self.bits // 63), 1, 1).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+        whole = words.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+        return Bloom(self.bits, self.hashes, whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("_bloom")))
 
-    def may_have(self, c: Column) -> Column:
-        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        return F.forall(self._places(c), lambda p: F.get(table, F.floor(p / 63).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(63)).cast("int"))) != 0)
+    def keep(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of ``df`` whose value may be in the filter: all that are, and few others."""
+        bit = lambda p: F.get("_bloom", F.floor(p / 63).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(63)).cast("int"))) != 0
+        # One row on the right.
+        return df.crossJoin(F.broadcast(self.table)).filter(F.col(column).isNotNull() & F.forall(self._places(F.col(column)), bit)).drop("_bloom")
 
 
 def stable_shard(id: Column, n: int) -> Column:
@@ -42,10 +47,22 @@ def stable_shard(id: Column, n: int) -> Column:
 
 
 def positions(keys: DataFrame, column: str, order: str) -> DataFrame:
-    """``(key, position)`` from 0 in ``order``."""
+    """``(key, position)`` from 0 in ``order``: the place within a range of the order, and the rows of the ranges before.
+
+    The ranges are drawn from a sample, so they are written once, to the shared folder, before they are counted.
+    """
     from pyspark.sql import Window
 
-    return keys.select(F.col(column).alias("key"), (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("position"))
+    from ..sources.store import scratch
+
+    spark, path = keys.sparkSession, scratch(keys.sparkSession)
+    ranged = keys.select(F.col(column).alias("key"), F.col(order).alias("_o")).repartitionByRange("_o")
+    ranged.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each range
+    placed = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy("_o")))
+    return placed.join(F.broadcast(before), F.col("_part") == F.col("_p")).select("key", (F.col("_before") + F.col("_in") - 1).cast("long").alias("position"))
 
 
 def bitmap_of(df: DataFrame, id_col: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize, vectors
@@ -19,16 +19,31 @@ def latest(versions: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     return best.select("_v.*")
 
 
+#: Ids up to which a batch is broadcast (some 20 MB), so that the table stays where it is.
+BROADCAST_IDS = 500_000
+
+
+def _ids(rows: DataFrame, id_col: str) -> DataFrame:
+    """``_id`` of some rows, to be broadcast if they are few, counted first."""
+    ids = rows.select(F.col(id_col).alias("_id")).distinct()
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def upsert(table: DataFrame, batch: DataFrame, id_col: str, seq_col: str) -> DataFrame:
-    """``table`` with the rows of ``batch`` in place of those of the same id; of several versions the last counts. Rows without an id are passed over."""
-    both = table.unionByName(batch.filter(F.col(id_col).isNotNull()), allowMissingColumns=True)
-    return latest(both, id_col, seq_col)
+    """``table``, which has one row for each id, with the rows of ``batch`` in place of those of the same id; of several versions the last counts. Rows of the batch without an id are passed over.
+
+    Only rows whose ids are in the batch are moved: beside a small batch the table isn't shuffled.
+    """
+    new = batch.filter(F.col(id_col).isNotNull())
+    ids = _ids(new, id_col)
+    met = table.join(ids, F.col(id_col) == F.col("_id"), "left_semi")
+    rest = table.join(ids, F.col(id_col) == F.col("_id"), "left_anti")
+    return rest.unionByName(latest(met.unionByName(new, allowMissingColumns=True), id_col, seq_col), allowMissingColumns=True)
 
 
 def delete(table: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``table`` without the rows whose ids are in ``ids``; an id that isn't there does nothing."""
-    gone = ids.select(F.col(id_col).alias("_gone")).distinct()
-    return table.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return table.join(_ids(ids, id_col), F.col(id_col) == F.col("_id"), "left_anti")
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, id_col: str, seq_col: str, op_col: str = "op", deletes: tuple[str, ...] = ("delete",)) -> DataFrame:
@@ -89,6 +104,5 @@ def split_valid(batch: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]
 
 
 def first_version(table: DataFrame, id_col: str, seq_col: str) -> DataFrame:
-    """The first version of each id, as an append-only table keeps it."""
-    w = Window.partitionBy(id_col).orderBy(seq_col)
-    return table.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """The first version of each id, as an append-only table keeps it; reduced where its rows lie before they meet."""
+    return table.groupBy(id_col).agg(F.min_by(F.struct("*"), F.col(seq_col)).alias("_v")).select("_v.*")

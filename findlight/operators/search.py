@@ -13,7 +13,7 @@ from ..functions import vectors
 from ..functions.normalize import value as norm_value
 from ..plans import query as q
 from ..plans.compiler import compile_filter
-from ..plans.schema import Schema
+from ..plans.schema import Schema, fresh
 from . import mutations, ranking, vector
 
 
@@ -63,6 +63,8 @@ class Collection:
     def __init__(self, df: DataFrame, schema: Schema, now: float | None = None, deleted_col: str | None = None):
         self.df, self.schema = df, schema
         self.live = mutations.live(df, schema, now, deleted_col)
+        #: What scores are called: ``score``, unless the table has a column of that name.
+        self.score = fresh(self.live, "score")
 
     # Vector parts of a query are turned into rows first.
 
@@ -98,10 +100,10 @@ class Collection:
         f = self.schema.need(v.field)
         k = v.k if v.k > 0 else (limit or 10)
         if f.dim and len(v.vector) != f.dim:
-            return self.live.withColumn("score", F.lit(0.0)).limit(0)
+            return self.live.withColumn(self.score, F.lit(0.0)).limit(0)
         rows = self.matching(v.filter) if v.filter is not None else self.live
         metric = v.metric or f.metric
-        return vector.top_k(rows, f.source, v.vector, min(k, limit + offset) if limit else k, metric, None, self.schema.order, offset)
+        return vector.top_k(rows, f.source, v.vector, min(k, limit + offset) if limit else k, metric, None, self.schema.order, offset, self.score)
 
     def search(self, request: Request) -> Result:
         """Hits with ``score``: similarity for a vector at the root, BM25 if words are sought globally and no order is asked for, else 1, by id."""
@@ -112,18 +114,18 @@ class Collection:
             return Result(self._project(hits, request), lambda: self.nearest(tree).count())
         words = q.words_in(tree)
         if words and not request.sort and not request.facets:
-            scored = ranking.bm25(self.live, s, words.words, compile_filter(tree, s), words.fuzzy)
-            ranked = scored.orderBy(F.col("score").desc(), order)
+            scored = ranking.bm25(self.live, s, words.words, compile_filter(tree, s), words.fuzzy, self.score)
+            ranked = scored.orderBy(F.col(self.score).desc(), order)
         else:
             found = self.matching(tree)
-            ranked = found.withColumn("score", F.lit(1.0)).orderBy(*[x.column(s) for x in request.sort], order)
+            ranked = found.withColumn(self.score, F.lit(1.0)).orderBy(*[x.column(s) for x in request.sort], order)
         hits = (ranked.offset(request.offset) if request.offset else ranked).limit(request.limit)
         if isinstance(request.query, q.Explain):
             hits.explain("formatted")
         return Result(self._project(hits, request), lambda: self.count(tree), {n: self.facet(tree, n) for n in request.facets})
 
     def _project(self, hits: DataFrame, request: Request) -> DataFrame:
-        return hits if request.with_docs else hits.select(self.schema.id, "score")
+        return hits if request.with_docs else hits.select(self.schema.id, self.score)
 
     def count(self, tree: q.Query | None) -> int:
         return self.matching(tree).count()
@@ -138,7 +140,7 @@ class Collection:
     def rerank(self, request: Request, score: Column) -> DataFrame:
         """The page that ``search`` gives, scored anew by a Column (or pandas UDF) over its columns, highest first."""
         page = self.search(request).hits.withColumn("_place", F.monotonically_increasing_id())
-        return page.withColumn("score", score).orderBy(F.col("score").desc(), "_place").drop("_place")
+        return page.withColumn(self.score, score).orderBy(F.col(self.score).desc(), "_place").drop("_place")
 
     def highlight(self, tree: q.Query | None, name: str, term: str, size: int = 80) -> DataFrame:
         f = self.schema.need(name)
@@ -149,7 +151,7 @@ class Collection:
         from ..plans.compiler import _Compiler
 
         f = self.schema.need(name)
-        return self.live.select(self.schema.id, F.posexplode(_Compiler(self.schema)._tokens(f)).alias("pos", "token"))
+        return self.live.select(self.schema.id, F.posexplode_outer(_Compiler(self.schema)._tokens(f)).alias("pos", "token")).filter("token IS NOT NULL")
 
     def get(self, id: object) -> DataFrame:
         return self.live.filter(F.col(self.schema.id) == F.lit(id))
@@ -162,7 +164,7 @@ class Collection:
         for f in self.schema.fields:
             if f.kind in ("keyword", "text"):
                 values = F.array(norm_value(F.col(f.source).cast("string"), f.normalizer, f.lowercase)) if not f.words else compiler._tokens(f)
-                parts.append(self.live.select(F.lit(f.name).alias("f"), F.explode(values).alias("t")))
+                parts.append(self.live.select(F.lit(f.name).alias("f"), F.explode_outer(values).alias("t")))
         terms = None
         for p in parts:
             terms = p if terms is None else terms.union(p)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 
 
-def top_k(df: DataFrame, vector_col: str, vector: Sequence[float], k: int = 10, metric: str = "cosine", where: Column | None = None, tie: str = "id", offset: int = 0) -> DataFrame:
+def top_k(df: DataFrame, vector_col: str, vector: Sequence[float], k: int = 10, metric: str = "cosine", where: Column | None = None, tie: str = "id", offset: int = 0, score: str = "score") -> DataFrame:
     """The ``k`` rows that are most similar among those that pass ``where``, with ``score``; ties by ``tie``.
 
     The filter comes before the ranking, so it never costs results. Vectors of another length, or with what
@@ -19,8 +19,8 @@ def top_k(df: DataFrame, vector_col: str, vector: Sequence[float], k: int = 10,
     """
     rows = df if where is None else df.filter(where)
     rows = rows.filter(vectors.valid(F.col(vector_col), len(vector)))
-    scored = rows.withColumn("score", vectors.similarity(F.col(vector_col), vectors.vector_literal(vector), metric))
-    out = scored.orderBy(F.col("score").desc(), F.col(tie)).limit(k)
+    scored = rows.withColumn(score, vectors.similarity(F.col(vector_col), vectors.vector_literal(vector), metric))
+    out = scored.orderBy(F.col(score).desc(), F.col(tie)).limit(k)
     return out.offset(offset) if offset else out
 
 

@@ -330,10 +330,15 @@ class _Compiler:
     def _in_order(self, f: Field, text: Column, terms: list[str], slop: int) -> Column:
         """Whether the terms follow one another in one value, ``slop`` tokens or fewer between."""
         plain = self.schema.analyzers.simple(f.analyzer) and f.analyzer == "standard"
-        if slop <= 0 and plain:
+        if plain:
             s = F.lower(text) if f.lowercase else text
             have = reduce(lambda a, b: a & b, [F.contains(s, F.lit(x)) for x in terms])
-            return self.sure(have & s.rlike(_EDGE_L + f"[^{TOKEN_CLASS}]+".join(map(_quote, terms)) + _EDGE_R))
+            gap = f"[^{TOKEN_CLASS}]+"
+            if slop <= 0:
+                return self.sure(have & s.rlike(_EDGE_L + gap.join(map(_quote, terms)) + _EDGE_R))
+            # From each start the next term is taken where it is nearest, for good: lazy repeats inside atomic groups.
+            rest = "".join(rf"(?>(?:{gap}[{TOKEN_CLASS}]++){{0,{slop}}}?{gap}{_quote(x)}{_EDGE_R})" for x in terms[1:])
+            return self.sure(have & s.rlike(f"{_EDGE_L}{_quote(terms[0])}{_EDGE_R}{rest}"))
         name = f.analyzer if f.lowercase or f.analyzer != "standard" else "cased"
         joined = F.array_join(self.schema.analyzers.tokens(text, name), " ")
         if slop <= 0:

@@ -23,9 +23,9 @@ def simple(field: str, expression: str) -> q.Query:
     """
     bare, must, must_not = [], [], []
     for word in expression.split():
-        sign, rest = (word[0], word[1:]) if word[0] in "+-" and len(word) > 1 else ("", word)
-        leaf = _leaf(field, rest)
-        (must_not if sign == "-" else must if sign else bare).append(leaf)
+        needed, rest = word.startswith("+"), word.removeprefix("+")
+        refused, rest = rest.startswith("-"), rest.removeprefix("-")
+        (must_not if refused else must if needed else bare).append(_leaf(field, rest))
     if not (bare or must or must_not):
         return q.MatchAll()
     if not (must or must_not):
@@ -34,13 +34,13 @@ def simple(field: str, expression: str) -> q.Query:
 
 
 def _leaf(field: str, word: str) -> q.Query:
-    body, tilde, distance = word.rpartition("~")
-    if tilde and body and (not distance or distance.isdigit()):
-        return q.Fuzzy(field, body, int(distance or 1))
     if word.endswith("*") and len(word) > 1:
         return q.Prefix(field, word[:-1])
     if word.startswith("*") and len(word) > 1:
         return q.Suffix(field, word[1:])
+    body, tilde, distance = word.partition("~")
+    if tilde:
+        return q.Fuzzy(field, body, int(distance) if distance.lstrip("+-").isdigit() else 1)
     return q.Term(field, word)
 
 
@@ -87,6 +87,12 @@ def filter_of(schema: Schema, name: str, operator: str, value: str) -> q.Query:
             return simple(name, text)
         return q.Term(name, text)
 
+    def pattern(kind: str) -> q.Query:
+        """By what the field offers, which for a text is its tokens; else over its whole values."""
+        offered = {"contains": (f.ngram, q.Contains), "starts_with": (f.prefix, q.Prefix), "ends_with": (f.suffix, q.Suffix), "fuzzy": (f.fuzzy, q.Fuzzy)}
+        has, made = offered[kind]
+        return made(name, value) if has else q.Whole(name, value, kind)
+
     if operator in _EQ:
         return equals(value)
     if operator in _NE:
@@ -102,8 +108,8 @@ def filter_of(schema: Schema, name: str, operator: str, value: str) -> q.Query:
         if f.numbers or f.kind == "vector":
             raise ValueError(f"{operator} doesn't fit the {f.kind} field {name!r}")
         if operator == "not_contains":
-            return q.Not(q.Whole(name, value, "contains"))
-        return q.Whole(name, value, operator)
+            return q.Not(pattern("contains"))
+        return pattern(operator)
     if not f.numbers:
         raise ValueError(f"{operator} doesn't fit the {f.kind} field {name!r}")
     if operator == "not_zero":

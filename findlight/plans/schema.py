@@ -127,3 +127,11 @@ def of_frame(df: DataFrame, id: str, text: tuple[str, ...] = (), seq: str | None
         elif isinstance(t, T.ArrayType):
             made.append(Field(c.name, "vector"))
     return Schema(tuple(made), id, seq)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or where ``df`` has it already (whatever its case) the name with underscores in front."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

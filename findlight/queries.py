@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stored_queries
 from .functions import analyzers, normalize, structures, vectors
 from .operators import mutations, vector
 from .operators.search import Collection, Request, Sort, union_shards
@@ -105,7 +106,7 @@ _ids("bool_msm2", lineitems, q.Bool(should=(_QTY, _FLAG, _DISC), min_should_matc
 # Parsers.
 _ids("simple_syntax", documents, parsers.simple("text", "+the -und from th* *tion"), "doc_id", f"SELECT doc_id FROM (SELECT doc_id, {TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND NOT list_contains(t, 'und') AND (list_contains(t, 'from') OR len(list_filter(t, lambda x: starts_with(x, 'th'))) > 0 OR len(list_filter(t, lambda x: ends_with(x, 'tion'))) > 0)")
 _ids("url_filter", orders, lambda c: parsers.url_filter("o_orderstatus=O&o_totalprice__gte=1000&o_totalprice__lt=90000&o_orderpriority__in=1-URGENT%2C3-MEDIUM&limit=5", c.schema), "o_orderkey", "SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) = 'o' AND o_totalprice >= 1000 AND o_totalprice < 90000 AND lower(o_orderpriority) IN ('1-urgent', '3-medium')")
-_ids("url_filter_patterns", parts, lambda c: parsers.url_filter("p_name__contains=a&p_brand__ne=Brand%2311&p_type__not_contains=steel&p_size__not_zero=", c.schema), "p_partkey", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a') AND lower(p_brand) <> 'brand#11' AND NOT contains(lower(p_type), 'steel') AND p_size <> 0")
+_ids("url_filter_patterns", parts, lambda c: parsers.url_filter("p_name__contains=re&p_brand__ne=Brand%2311&p_type__not_contains=steel&p_size__not_zero=", c.schema), "p_partkey", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 're') AND lower(p_brand) <> 'brand#11' AND NOT (contains(lower(p_type), 'stee') AND contains(lower(p_type), 'teel')) AND p_size <> 0")
 _ids("url_global_term", documents, lambda c: parsers.url_filter("term=the+from&source=src1", c.schema), "doc_id", f"SELECT doc_id FROM (SELECT doc_id, source, lang, {TOKENS} AS t FROM documents) WHERE (list_contains(t, 'the') OR lang = 'the') AND (list_contains(t, 'from') OR lang = 'from') AND lower(source) = 'src1'")
 _ids("wire_bool", documents, parsers.wire('{"type": "bool", "must": [{"type": "term", "field": "lang", "value": "en"}], "filter": [{"type": "range", "field": "n_chars", "gte": 500}], "must_not": [{"type": "terms", "field": "source", "values": ["src1", "src2"]}]}'), "doc_id", "SELECT doc_id FROM documents WHERE lower(lang) = 'en' AND n_chars >= 500 AND lower(source) NOT IN ('src1', 'src2')")
 
@@ -215,17 +216,29 @@ _register("dequantize", lambda s, d: _table(s, d, "embeddings").select("vec_id",
 
 # Analyzers: how often each token occurs.
 def _analyzer(name: str, query: Callable[[object], object], tokens: str) -> None:
-    _register(f"analyzer_{name}", lambda s, d: _table(s, d, "documents").select(F.explode(query(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens}) AS token FROM documents) GROUP BY 1")
+    _register(f"analyzer_{name}", lambda s, d: _table(s, d, "documents").select(F.explode_outer(query(F.col("text"))).alias("token")).filter("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n")), f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens}) AS token FROM documents) GROUP BY 1")
 
 
-_STOPS = ", ".join(f"'{w}'" for w in analyzers.STOP_WORDS)
 _STEM = "CASE " + " ".join(f"WHEN ends_with(t, '{x}') AND strlen(t) > {len(x) + 2} THEN t[:length(t) - {len(x)}]" + (" || 'y'" if x == "ies" else "") for x in analyzers.SUFFIXES) + " ELSE t END"
 _analyzer("standard", analyzers.standard, TOKENS)
-_analyzer("stop", analyzers.stop, f"list_filter({TOKENS}, lambda t: t NOT IN ({_STOPS}))")
+_analyzer("stop", analyzers.stop, f"list_filter({TOKENS}, lambda t: t NOT IN ('a', 'an', 'the', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'is', 'are', 'was', 'were'))")
 _analyzer("stem", analyzers.stem, f"list_transform({TOKENS}, lambda t: {_STEM})")
 _analyzer("nepali", analyzers.nepali, TOKENS)
 _analyzer("cjk", analyzers.cjk, TOKENS)
-SQL["analyzer_cjk"] = "WITH c AS (SELECT doc_id, list_filter(string_split(lower(text), ''), lambda c: trim(c, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS k FROM documents), p AS (SELECT unnest(k) AS token FROM c UNION ALL SELECT unnest(list_transform(list_zip(k[:-2], k[2:]), lambda z: z[1] || z[2])) FROM c WHERE len(k) > 1) SELECT token, count(*) AS n FROM p GROUP BY 1"
+# Each character but four blanks, and each two that stand side by side and are none of these.
+SQL["analyzer_cjk"] = """WITH d AS (SELECT replace(replace(replace(lower(text), chr(9), ' '), chr(10), ' '), chr(13), ' ') AS t FROM documents),
+k AS (SELECT unnest(string_split(t, '')) AS token FROM d UNION ALL SELECT unnest(list_transform(range(1, length(t)), lambda i: t[i:i + 1])) FROM d)
+SELECT token, count(*) AS n FROM k WHERE token <> '' AND NOT contains(token, ' ') GROUP BY 1"""
+
+
+def _nepali(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts with their digits written in Devanagari, and a danda before each second word."""
+    digits = F.translate(F.col("p_brand"), "0123456789", "०१२३४५६७८९")
+    text = F.concat(F.regexp_replace("p_name", " ", "।"), F.lit(" "), digits)
+    return _table(spark, sf_dir, "part").select("p_partkey", F.explode_outer(analyzers.nepali(text)).alias("token"))
+
+
+_register("analyzer_nepali_digits", _nepali, "SELECT p_partkey, unnest(regexp_extract_all(lower(replace(p_name, ' ', '  ') || ' ' || p_brand), '[\\p{L}\\p{Nd}_\\-@.]+')) AS token FROM part")
 _register("analyze_positions", lambda s, d: documents(s, d).analyze("text").filter("token = 'the'").select("doc_id", "pos"), f"SELECT doc_id, pos FROM (SELECT doc_id, unnest(t) AS token, (generate_subscripts(t, 1) - 1)::INT AS pos FROM (SELECT doc_id, {TOKENS} AS t FROM documents)) WHERE token = 'the'")
 
 
@@ -251,13 +264,13 @@ def parts_text(spark: SparkSession, sf_dir: str) -> Collection:
 _ids("radix_prefix", parts, q.Prefix("p_type", "standard"), "p_partkey", "SELECT p_partkey FROM part WHERE starts_with(lower(p_type), 'standard')")
 _ids("reverse_suffix", parts, q.Suffix("p_type", "um"), "p_partkey", "SELECT p_partkey FROM part WHERE ends_with(lower(p_type), 'um')")
 _register("perfect_hash", lambda s, d: structures.positions(_table(s, d, "nation").select("n_name"), "n_name", "n_name"), "SELECT n_name AS key, row_number() OVER (ORDER BY n_name) - 1 AS position FROM nation")
-_register("bloom_filter", lambda s, d: (c := _table(s, d, "customer")).filter(structures.Bloom.sized(200_000, 1e-9).of(c.filter("c_nationkey = 3"), "c_custkey").may_have(F.col("c_custkey"))).select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_nationkey = 3")
+_register("bloom_filter", lambda s, d: structures.Bloom.sized(200_000, 1e-9).of((c := _table(s, d, "customer")).filter("c_nationkey = 3"), "c_custkey").keep(c, "c_custkey").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_nationkey = 3")
 _register("bitmap_and_or", lambda s, d: structures.bitmap_count(structures.bitmap_and(structures.bitmap_of((o := _table(s, d, "orders")).filter("o_orderstatus = 'O'"), "o_orderkey"), structures.bitmap_or(structures.bitmap_of(o.filter("o_totalprice > 150000"), "o_orderkey"), structures.bitmap_of(o.filter("o_orderpriority = '1-URGENT'"), "o_orderkey")))), "SELECT count(DISTINCT o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O' AND (o_totalprice > 150000 OR o_orderpriority = '1-URGENT')")
 _register("shard_set", lambda s, d: union_shards(*[(c := orders(s, d)).live.filter(structures.stable_shard(F.col("o_orderkey"), 3) == k).orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice") for k in range(3)], order=[F.col("o_totalprice").desc(), F.col("o_orderkey")], limit=15), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
 
 # Mutations.
 _register("dedup_upsert", lambda s, d: mutations.latest(_table(s, d, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id"), "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
-_register("upsert_batch", lambda s, d: mutations.upsert((e := _table(s, d, "events").select("user_id", "event_id", "value")).filter("event_id % 3 <> 0"), e.filter("event_id % 3 = 0"), "user_id", "event_id"), "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL) WHERE rn = 1")
+_register("upsert_batch", lambda s, d: mutations.upsert(mutations.latest((e := _table(s, d, "events").select("user_id", "event_id", "value")).filter("event_id % 3 <> 0"), "user_id", "event_id"), e.filter("event_id % 3 = 0"), "user_id", "event_id"), "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL) WHERE rn = 1")
 _register("tombstones", lambda s, d: mutations.apply_changes((e := _table(s, d, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))).limit(0).drop("op"), e, "user_id", "event_id"), "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'")
 _register("delete_ids", lambda s, d: mutations.delete(_table(s, d, "customer"), _table(s, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 TTL_NOW = 1_706_745_600
@@ -275,14 +288,10 @@ _register("append_only_first", lambda s, d: mutations.first_version(_table(s, d,
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change stream of ``events``, merged into a store below the shared folder, and what it holds then."""
-    import tempfile
-    import uuid
-
-    from .sources.store import Store
+    from .sources.store import Store, scratch
     from .streaming.changes import merge_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="findlight-")
-    root = f"{shared.rstrip('/')}/changes-{uuid.uuid4().hex}"
+    root = scratch(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     changes = stream.select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
@@ -300,3 +309,6 @@ def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("infer_schema", _inferred, "SELECT * FROM (VALUES ('o_custkey', 'int'), ('o_orderstatus', 'keyword'), ('o_totalprice', 'float'), ('o_orderdate', 'time'), ('o_orderpriority', 'keyword')) AS t(name, kind)")
+
+QUERIES.update(stored_queries.QUERIES)
+SQL.update(stored_queries.SQL)

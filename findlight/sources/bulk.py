@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators.mutations import latest, split_valid
+from ..operators.mutations import latest, split_valid, upsert
 from ..plans.schema import Schema
 from .store import Checkpoint, Store
 
@@ -78,14 +79,18 @@ def high_water(rows: DataFrame, time_col: str = "updated_at", id_col: str = "id"
 
 
 def incremental(source: DataFrame, store: Store, schema: Schema, checkpoint: Checkpoint, name: str = "incremental", time_col: str = "updated_at") -> int:
-    """Merges what is new since the last call and moves the mark; returns how many rows that was."""
-    rows = newer(source, checkpoint.load(name), time_col, schema.id).cache()
+    """Merges what is new since the last call and moves the mark; returns how many rows that was.
+
+    What is new is written once, into the store's own folder, and read from there: the source may move on meanwhile.
+    """
+    folder = f"increments/{uuid.uuid4().hex}"
+    newer(source, checkpoint.load(name), time_col, schema.id).write.parquet(f"{store.root}/{folder}")
+    rows = store.spark.read.parquet(f"{store.root}/{folder}")
     n = rows.count()
     if n:
-        both = store.read().unionByName(rows, allowMissingColumns=True) if store.current() is not None else rows
-        store.save(latest(both, schema.id, time_col))
+        store.save(upsert(store.read(), rows, schema.id, time_col) if store.current() is not None else latest(rows, schema.id, time_col))
         checkpoint.save(name, **high_water(rows, time_col, schema.id))
-    rows.unpersist()
+    store.files.delete(folder)
     return n
 
 

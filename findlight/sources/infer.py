@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from datetime import datetime
+from datetime import datetime, time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -12,61 +12,67 @@ from pyspark.sql import types as T
 from ..plans.schema import Field, Schema
 
 SAMPLE_ROWS, SAMPLES = 200, 25
-# What names say, and layouts of times.
-TEXT_HINTS = ("description", "desc", "title", "body", "content", "text", "notes", "comment", "summary", "message")
-CODE_HINTS = ("code", "sku", "id", "key", "number", "npi", "zip", "postal")
-TIME_LAYOUTS = ("%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y")
+# Parts of names that say what a column is.
+CODE_HINTS = ("code", "status", "type", "category", "key", "flag", "level", "state", "sku", "abbr")
+TEXT_HINTS = ("desc", "description", "note", "comment", "title", "name", "summary", "address", "bio", "content", "text", "message")
 NOT_FIELDS = ("id", "seq")
+#: Times of one column are all written alike: one of these forms (the layouts of ``readers.TIME_LAYOUTS``).
+_TIMES = (
+    r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)", r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)",
+    r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d+)?", r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?", r"\d{4}-\d\d-\d\d", r"\d\d:\d\d:\d\d(\.\d+)?",
+)
 
 
 def _hint(name: str, hints: Iterable[str]) -> bool:
-    parts = re.split(r"[_\W]+|(?<=[a-z])(?=[A-Z])", name.lower())
-    return any(h in parts for h in hints)
+    return any(h in name.lower() for h in hints)
 
 
-def _is_time(v: str) -> bool:
-    for layout in TIME_LAYOUTS:
+def _are_times(values: list[str]) -> bool:
+    """Whether all values are valid and of one form."""
+    def valid(v: str) -> bool:
         try:
-            datetime.strptime(v, layout)
+            time.fromisoformat(v) if v[2:3] == ":" else datetime.fromisoformat(v)
             return True
         except ValueError:
-            continue
-    return False
+            return False
+
+    return any(all(re.fullmatch(form, v) for v in values) for form in _TIMES) and all(map(valid, values))
 
 
 def _is_number(v: str) -> bool:
     try:
         float(v)
-        return not re.search(r"[a-zA-Z_]", v.replace("e", "").replace("E", ""))
+        return not (v != v.strip() or "_" in v and not v.lower().startswith("0x"))
     except ValueError:
         return False
 
 
 def of_strings(name: str, values: list[str]) -> Field:
-    """Of string samples: names that say text or code, then short values without spaces, long or spaced ones, else a keyword."""
-    sizes = [len(v.encode()) for v in values]
-    spaced = sum(" " in v.strip() for v in values)
+    """Of string samples: a name that says text, or code, then short values without blanks, then long or mostly blank-parted ones, else a keyword. Lengths are in bytes."""
+    spaced = sum(bool(re.search("[ \t]", v)) for v in values) > len(values) // 2
+    mean = sum(len(v.encode()) for v in values) / len(values) if values else 0.0
     if _hint(name, TEXT_HINTS):
         return Field(name, "text", lookup=False, indexed=True, fuzzy=True)
-    short = bool(values) and sum(sizes) / len(sizes) <= 24 and not spaced
-    if _hint(name, CODE_HINTS) or short:
+    if _hint(name, CODE_HINTS) or (0 < mean <= 24 and not spaced):
         return Field(name, "keyword", prefix=(3, 5), facetable=True)
-    if values and (sum(sizes) / len(sizes) > 40 or 2 * spaced > len(values)):
+    if mean > 40 or spaced:
         return Field(name, "text", lookup=False, indexed=True, fuzzy=True)
     return Field(name, "keyword", facetable=True)
 
 
 def of_values(name: str, values: list[str]) -> Field:
-    """Of untyped samples: codes and texts by name, then numbers, booleans and times if all are, then as strings."""
+    """Of untyped samples: codes, then texts by name, then numbers, booleans and times if all are, then as strings."""
     values = [v for v in values if v is not None and v.strip()][:SAMPLES]
-    if _hint(name, CODE_HINTS) or _hint(name, TEXT_HINTS) or not values:
+    if _hint(name, CODE_HINTS):
+        return Field(name, "keyword", prefix=(3, 5), facetable=True)
+    if _hint(name, TEXT_HINTS) or not values:
         return of_strings(name, values)
     if all(map(_is_number, values)):
-        whole = all(re.fullmatch(r"\s*[+-]?\d+\s*", v) for v in values)
+        whole = all(re.fullmatch(r"[+-]?\d+", v) and -(2**63) <= int(v) < 2**63 for v in values)
         return Field(name, "int" if whole else "float", sortable=True)
-    if all(v.strip().lower() in ("true", "false") for v in values):
+    if all(v in ("1", "t", "T", "TRUE", "true", "True", "0", "f", "F", "FALSE", "false", "False") for v in values):
         return Field(name, "keyword", facetable=True)
-    if all(_is_time(v.strip()) for v in values):
+    if _are_times(values):
         return Field(name, "time", sortable=True)
     return of_strings(name, values)
 

@@ -8,8 +8,12 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Layouts that a time may be written in, tried in turn after plain seconds.
-TIME_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")
+# Layouts that a time may be written in, tried in turn after plain seconds; the last is a time of the first day of year 0.
+_FRACTION = "[.SSSSSSSSS][.SSSSSSSS][.SSSSSSS][.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"
+TIME_LAYOUTS = (
+    f"yyyy-MM-dd'T'HH:mm:ss{_FRACTION}XXX", f"yyyy-MM-dd HH:mm:ss{_FRACTION}XXX", f"yyyy-MM-dd HH:mm:ss{_FRACTION}",
+    f"yyyy-MM-dd'T'HH:mm:ss{_FRACTION}", "yyyy-MM-dd", f"HH:mm:ss{_FRACTION}",
+)
 ROWS_KEYS = ("data", "results", "items", "records")
 
 Factory = Callable[[SparkSession, Mapping[str, object]], DataFrame]
@@ -63,11 +67,13 @@ def bind(df: DataFrame, columns: Mapping[str, str] | Iterable[str] | None) -> Da
 
 
 def parse_time(c: Column, layout: str | None = None) -> Column:
-    """A timestamp from text: by ``layout``, or as seconds since 1970, or by the first of TIME_LAYOUTS that fits; null if none does."""
+    """A timestamp from text: by ``layout``, or as seconds since 1970, or by the first of TIME_LAYOUTS that fits; null if none does. A time of day is one of 0000-01-01."""
     if layout:
         return F.try_to_timestamp(c, F.lit(layout))
-    seconds = F.when(c.rlike(r"^\s*-?\d+(\.\d+)?\s*$"), F.timestamp_micros((F.expr("1000000D") * c.try_cast("double")).cast("long")))
-    return F.coalesce(seconds, *[F.try_to_timestamp(F.trim(c), F.lit(x)) for x in TIME_LAYOUTS])
+    c = F.trim(c)
+    seconds = F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.timestamp_micros((F.expr("1000000D") * c.try_cast("double")).cast("long")))
+    dated = lambda x: F.concat(F.lit("0000-01-01 "), c) if x.startswith("HH") else c
+    return F.coalesce(seconds, *[F.try_to_timestamp(dated(x), F.lit(f"yyyy-MM-dd {x}" if x.startswith("HH") else x)) for x in TIME_LAYOUTS])
 
 
 def csv(spark: SparkSession, path: str, columns=None, **options) -> DataFrame:

@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.mutations import violations
+from ..operators.mutations import apply_changes, violations
 from ..plans.schema import Schema
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new name in the folder that driver and executors share, spark.checkpoint.dir; where that is unset and all run on one machine, in one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="findlight-")
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class Files:
     """Small files and folders in whatever file system a path is in, through Spark's own."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm, self.root = spark._jvm, root.rstrip("/")
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._jvm, self._gateway, self.root = spark._jvm, spark.sparkContext._gateway, root.rstrip("/")
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self._conf)
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -33,16 +47,22 @@ class Files:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """At once: written beside and renamed into place."""
-        temporary, target = self._path(f".{name.replace('/', '_')}.{time.time_ns()}"), self._path(name)
+        """At once: written beside and renamed into place, so that readers find the old text or the new one."""
+        temporary, target = self._path(f".{name.replace('/', '_')}.{uuid.uuid4().hex}"), self._path(name)
         self._fs.mkdirs(target.getParent())
         stream = self._fs.create(temporary, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not self._fs.rename(temporary, target):
-            self._fs.delete(target, False)
-            if not self._fs.rename(temporary, target):
-                raise OSError(f"can't write {name}")
+        fs = self._jvm.org.apache.hadoop.fs
+        over = self._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        over[0] = getattr(fs, "Options$Rename").OVERWRITE
+        context = fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else self._fs.getUri(), self._conf)
+        context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(target), over)
+
+    def claim(self, name: str) -> bool:
+        """Makes an empty file; False if it is there already. Of several callers one gets it."""
+        self._fs.mkdirs(self._path(name).getParent())
+        return self._fs.createNewFile(self._path(name))
 
     def list(self, name: str = "") -> list[str]:
         if not self._fs.exists(self._path(name)):
@@ -52,9 +72,16 @@ class Files:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
-    def checksums(self, name: str) -> dict[str, list[int]]:
-        """Length and modification time of each data file."""
-        return {s.getPath().getName(): [s.getLen(), s.getModificationTime()] for s in self._fs.listStatus(self._path(name)) if s.getPath().getName().startswith("part-")}
+    def lengths(self, name: str) -> dict[str, int]:
+        """The length of each data file below a folder, by its path there."""
+        top, found = self._fs.makeQualified(self._path(name)).toString(), self._fs.listFiles(self._path(name), True)
+        out = {}
+        while found.hasNext():
+            status = found.next()
+            path = status.getPath().toString()
+            if path.rsplit("/", 1)[-1].startswith("part-"):
+                out[path.removeprefix(top).lstrip("/")] = status.getLen()
+        return out
 
 
 @dataclass
@@ -84,6 +111,8 @@ class Store:
     def save(self, df: DataFrame, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (), max_rows_per_file: int = 0) -> Manifest:
         """A new generation, current once it is whole. Sorted within files, so that ranges skip row groups."""
         n = max(self.generations(), default=0) + 1
+        while not self.files.claim(f"claims/{n}"):
+            n += 1
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
         writer = df.write
@@ -93,7 +122,7 @@ class Store:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{self.root}/gen={n}")
         rows, digest = self._measure(self.read(n))
-        made = Manifest(n, rows, digest, self.files.checksums(f"gen={n}"), time.time(), df.schema.json())
+        made = Manifest(n, rows, digest, self.files.lengths(f"gen={n}"), time.time(), df.schema.json())
         self.files.write(f"manifest-{n}.json", json.dumps(asdict(made)))
         self.files.write("CURRENT", str(n))
         return made
@@ -108,6 +137,12 @@ class Store:
             raise FileNotFoundError(f"no generation below {self.root}")
         return self.spark.read.parquet(f"{self.root}/gen={n}")
 
+    def replayed(self, log: ChangeLog, id_col: str, seq_col: str, op_col: str = "op", deletes: tuple[str, ...] = ("delete",), strict: bool = False) -> DataFrame:
+        """The current generation after the changes of ``log``, as a store is opened whose last changes weren't saved; damaged records are passed over, or raise if ``strict``."""
+        table = self.read()
+        schema = T.StructType([*table.schema.fields, T.StructField(op_col, T.StringType())])
+        return apply_changes(table, log.read(schema, strict), id_col, seq_col, op_col, deletes)
+
     def manifest(self, generation: int | None = None) -> Manifest | None:
         text = self.files.read(f"manifest-{generation if generation is not None else self.current()}.json")
         return Manifest(**json.loads(text)) if text else None
@@ -118,6 +153,10 @@ class Store:
         found, made = [], self.manifest(n)
         if made is None:
             return ["no manifest"]
+        there = self.files.lengths(f"gen={n}")
+        if there != made.files:
+            wrong = sorted(k for k in {*there, *made.files} if there.get(k) != made.files.get(k))
+            return [f"files differ from those that were written: {', '.join(wrong[:5])}"]
         rows, digest = self._measure(self.read(n))
         if rows != made.rows:
             found.append(f"{rows} rows instead of {made.rows}")
