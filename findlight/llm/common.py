@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``df``, dealt to all cores by its ids where its files have fewer parts than there are cores: texts cost more to look at than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, id_col) if df.rdd.getNumPartitions() < cores else df
+
+
 def let(value: Column, body) -> Column:
     """``body`` over a variable that holds ``value``, so that lambdas in it don't compute ``value`` again for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

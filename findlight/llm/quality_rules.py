@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, let, table, words_of
+from .common import SPACE, dealt, fresh, let, table, words_of
 
 #: Labelled rows that the list is learned from, at most: those with the least seeded hash of their id.
 TRAIN_ROWS = 6000
@@ -201,5 +201,5 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return judged(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "judged.*")

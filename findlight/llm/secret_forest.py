@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, each, let, table, words_of
+from .common import SPACE, dealt, each, let, table, words_of
 
 #: Labelled findings that the forest is trained from, at most (those with the least hash), and its size.
 TRAIN_ROWS, TREES, DEPTH, SEED = 4000, 24, 7, 17
@@ -194,4 +194,4 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None, id_col:
 
 def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(synthetic_findings(spark))
-    return scan(table(spark, sf_dir, "documents"), model).select("doc_id", "at", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "is_secret")
+    return scan(dealt(table(spark, sf_dir, "documents")), model).select("doc_id", "at", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "score", "is_secret")

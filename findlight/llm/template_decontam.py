@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside, cut, each, fresh, let, table, words_of
+from .common import beside, cut, dealt, each, fresh, let, table, words_of
 
 #: Words to a window, and words that a match covers at least (of a shorter item: all).
 WINDOW, COVERED = 8, 13
@@ -178,4 +178,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op8_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+    return leaks(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).drop("text_hash")
