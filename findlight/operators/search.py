@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.normalize import value as norm_value
 from ..plans import query as q
-from ..plans.compiler import compile_filter
+from ..plans.compiler import _Compiler, compile_filter
 from ..plans.schema import Schema, fresh
 from . import mutations, ranking, vector
 
@@ -66,7 +66,7 @@ class Collection:
         #: What scores are called: ``score``, unless the table has a column of that name.
         self.score = fresh(self.live, "score")
 
-    # Vector parts of a query are turned into rows first.
+    # Vector parts of a query are turned into rows first, and fuzzy ones look further where nothing begins like them.
 
     def _resolve(self, tree: q.Query | None) -> tuple[q.Query | None, DataFrame]:
         """The tree without its vector parts, and the live rows with a marker column for each of those."""
@@ -76,6 +76,8 @@ class Collection:
             if isinstance(t, q.Vector):
                 found.append(t)
                 return _Marked(f"_v{len(found) - 1}")
+            if isinstance(t, q.Fuzzy) and t.distance > 1 and not t.anywhere and self.live.filter(_Compiler(self.schema).begins(t)).isEmpty():
+                return replace(t, anywhere=True)
             if isinstance(t, q.And | q.Or):
                 return type(t)(tuple(walk(p) for p in t.parts))
             if isinstance(t, q.Not | q.Explain):
@@ -148,8 +150,6 @@ class Collection:
 
     def analyze(self, name: str) -> DataFrame:
         """``(id, pos, token)`` of a field."""
-        from ..plans.compiler import _Compiler
-
         f = self.schema.need(name)
         return self.live.select(self.schema.id, F.posexplode_outer(_Compiler(self.schema)._tokens(f)).alias("pos", "token")).filter("token IS NOT NULL")
 
@@ -158,8 +158,6 @@ class Collection:
 
     def stats(self) -> DataFrame:
         """One row: docs, live, deleted, fields, and the distinct terms, tokens and vectors of all fields."""
-        from ..plans.compiler import _Compiler
-
         compiler, parts = _Compiler(self.schema), []
         for f in self.schema.fields:
             if f.kind in ("keyword", "text"):

@@ -214,13 +214,24 @@ class _Compiler:
             return NONE
 
         def near(c: Column) -> Column:
-            return c.startswith(v[0]) & (F.abs(F.length(c) - len(v)) <= d) & (F.levenshtein(c, F.lit(v), d) >= 0)
+            close = (F.abs(F.length(c) - len(v)) <= d) & (F.levenshtein(c, F.lit(v), d) >= 0)
+            return close if t.anywhere else c.startswith(v[0]) & close
 
         tests = [self._any_value(f, near)] if f.kind == "keyword" else []
         if f.words:
             tests.append(self.sure(F.exists(self._tokens(f), near)))
         return _any(tests)
 
+    def begins(self, t: q.Fuzzy) -> Column:
+        """Whether a row has a value or token that begins like ``t``'s value; true where that can't matter."""
+        f = self.schema.get(t.field)
+        if f is None or not f.fuzzy or not f.strings or not (v := self._literal(f, t.value)):
+            return F.lit(True)
+        tests = [self._any_value(f, lambda c: c.startswith(v[0]))] if f.kind == "keyword" else []
+        if f.words:
+            tests.append(self._any_token(f, v[0], True, False))
+        return _any(tests)
+
     def _exists(self, t: q.Exists):
         f = self.schema.get(t.field)
         return NONE if f is None else self._col(f).isNotNull()

@@ -49,9 +49,12 @@ class Contains(Query):
 
 @dataclass(frozen=True)
 class Fuzzy(Query):
+    """A token within ``distance`` edits that begins like the value; ``anywhere``: that begins otherwise, as beyond one edit where no token of the table begins so."""
+
     field: str
     value: str
     distance: int = 1
+    anywhere: bool = False
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ from .plans import query as q
 from .plans.compiler import compound_key, encode_date
 from .plans.schema import Field, Schema, of_frame
 from .sources import infer as inference
+from .sources.store import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -216,6 +217,14 @@ _register("vector_l2_topk", _nearest("euclidean"), _VEC.format("-list_distance(x
 _register("vector_filtered", _nearest("cosine", q.Range("label", gte=1, lte=3)), _VEC.format("list_cosine_similarity(x, e)", "WHERE label BETWEEN 1 AND 3"))
 _register("vector_in_bool", lambda s, d: embedded(s, d).matching(q.Bool(must=(q.Vector("embedding", _probe(s, d), 50, "cosine"),), must_not=(q.Range("label", gte=5),))).select("vec_id"), f"WITH p AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = {PROBE}) SELECT vec_id FROM (SELECT vec_id, label FROM embeddings, p ORDER BY list_cosine_similarity(embedding::DOUBLE[], e) DESC, vec_id LIMIT 50) WHERE NOT coalesce(label >= 5, false)")
 _register("vector_lsh", lambda s, d: vector.approximate_top_k(vector.with_signature(_table(s, d, "embeddings"), "embedding", 64), "embedding", _probe(s, d), 10, tie="vec_id").select("vec_id", F.round("score", 4).alias("score")))
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with signatures, written, and searched by these with exact ranking of what is near."""
+    path = scratch(spark)
+    vector.with_codes(_table(spark, sf_dir, "embeddings"), "embedding", 64).write.parquet(path)
+    return vector.coded_top_k(spark.read.parquet(path), "vec_id", "embedding", _probe(spark, sf_dir), 10).select("vec_id", F.round("score", 4).alias("score"))
+
+
+_register("vector_codes", _coded)
 _register("quantize", lambda s, d: _table(s, d, "embeddings").select("vec_id", F.posexplode(vectors.quantize(F.col("embedding"))).alias("pos", "v")).select("vec_id", "pos", F.col("v").cast("int").alias("v")), "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, trunc(least(greatest(unnest(embedding)::DOUBLE, -1), 1) * 127)::INT AS v FROM embeddings")
 _register("dequantize", lambda s, d: _table(s, d, "embeddings").select("vec_id", F.posexplode(vectors.dequantize(vectors.quantize(F.col("embedding")))).alias("pos", "v")).select("vec_id", "pos", F.round("v", 6).alias("v")), "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS pos, round(trunc(least(greatest(unnest(embedding)::DOUBLE, -1), 1) * 127) / 127, 6) AS v FROM embeddings")
 
@@ -294,7 +303,7 @@ _register("append_only_first", lambda s, d: mutations.first_version(_table(s, d,
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change stream of ``events``, merged into a store below the shared folder, and what it holds then."""
-    from .sources.store import Store, scratch
+    from .sources.store import Store
     from .streaming.changes import merge_stream
 
     root = scratch(spark)

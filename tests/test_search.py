@@ -208,3 +208,24 @@ def test_normalised_columns_reach_the_scan(spark, sf, tmp_path):
     plan = stored.matching(tree)._jdf.queryExecution().toString()
     assert "EqualTo(o_orderpriority__norm,1-urgent)" in plan and "StringStartsWith(o_orderstatus__norm,f)" in plan
     assert sorted(r.o_orderkey for r in stored.matching(tree).collect()) == sorted(r.o_orderkey for r in c.matching(tree).collect())
+
+
+def test_fuzzy_looks_elsewhere_where_nothing_begins_so(spark):
+    df = spark.createDataFrame([(1, "oak table"), (2, "elm stool")], "id int, body string")
+    c = Collection(df, Schema((Field("body", "text", fuzzy=True),)))
+    assert ids(c, q.Fuzzy("body", "bable", 2)) == [1] and ids(c, q.Fuzzy("body", "bable", 1)) == []
+    # A token begins with s, so only such are looked at.
+    assert ids(c, q.Fuzzy("body", "sable", 2)) == []
+
+
+def test_signatures_find_nine_in_ten_neighbours(spark):
+    from findlight.operators import vector
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    coded, hit = vector.with_codes(rows, "embedding", 64).cache(), 0
+    probes = rows.filter("vec_id % 100 = 0").collect()
+    for probe in probes:
+        want = {r.vec_id for r in vector.top_k(rows, "embedding", probe.embedding, 10, tie="vec_id").collect()}
+        hit += len(want & {r.vec_id for r in vector.coded_top_k(coded, "vec_id", "embedding", probe.embedding, 10, candidates=150).collect()})
+    coded.unpersist()
+    assert len(probes) == 20 and coded.count() == 2000 and hit >= 0.9 * 200
