@@ -29,6 +29,11 @@ def _ids(rows: DataFrame, id_col: str) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+def beside_ids(table: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``table`` whose ids are in ``rows``; the table stays where it is if these are few."""
+    return table.join(_ids(rows, id_col), F.col(id_col) == F.col("_id"), "left_semi")
+
+
 def upsert(table: DataFrame, batch: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     """``table``, which has one row for each id, with the rows of ``batch`` in place of those of the same id; of several versions the last counts. Rows of the batch without an id are passed over.
 

@@ -304,7 +304,7 @@ _register("append_only_first", lambda s, d: mutations.first_version(_table(s, d,
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change stream of ``events``, merged into a store below the shared folder, and what it holds then."""
     from .sources.store import Store
-    from .streaming.changes import merge_stream
+    from .streaming.changes import merge_stream, merged
 
     root = scratch(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -312,7 +312,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = stream.select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
     store = Store(spark, f"{root}/store")
     merge_stream(changes, store, f"{root}/progress", "user_id", "event_id").awaitTermination()
-    return store.read()
+    return merged(store, "user_id", "event_id")
 
 
 _register("stream_mutations", _stream, SQL["tombstones"])

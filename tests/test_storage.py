@@ -17,7 +17,7 @@ from findlight.plans.parsers import simple
 from findlight.plans.schema import Field, Schema
 from findlight.sources import bulk, infer, readers, sql
 from findlight.sources.store import ChangeLog, Checkpoint, Store
-from findlight.streaming.changes import merge_stream
+from findlight.streaming.changes import fold, merge_stream, merged, pending
 
 CHARGES = """id,ld,cpt_code,effective_date,charge_amt,is_active
 1,"Office or other outpatient visit, established patient",99213,2024-01-02T00:00:00Z,125.50,true
@@ -212,14 +212,20 @@ def test_mutations(spark):
 def test_change_stream(spark, tmp_path):
     source, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
     schema = "id string, seq long, v string, op string"
-    run = lambda: merge_stream(spark.readStream.schema(schema).json(source), store, str(tmp_path / "p"), "id", "seq").awaitTermination()
+    run = lambda every=16: merge_stream(spark.readStream.schema(schema).json(source), store, str(tmp_path / "p"), "id", "seq", every=every).awaitTermination()
     put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+    now = lambda: {(r.id, r.v) for r in merged(store, "id", "seq").collect()}
     put(("a", 1, "x", "upsert"), ("b", 1, "y", "upsert"), ("a", 3, "z", "upsert"), (None, 4, "n", "upsert"))
     run()
-    assert {(r.id, r.v) for r in store.read().collect()} == {("a", "z"), ("b", "y")}
+    assert now() == {("a", "z"), ("b", "y")} and store.current() is None
     put(("a", 2, "late", "upsert"), ("b", 5, None, "delete"), ("c", 1, "w", "upsert"))
+    run(2)
+    assert now() == {("a", "z"), ("c", "w")} and store.current() == 1 and pending(store) == []
+    put(("c", 0, "late", "upsert"), ("a", 4, "q", "upsert"))
     run()
-    assert {(r.id, r.v) for r in store.read().collect()} == {("a", "z"), ("c", "w")}
+    assert now() == {("a", "q"), ("c", "w")} and store.current() == 1 and len(pending(store)) == 1
+    fold(store, "id", "seq")
+    assert {(r.id, r.v) for r in store.read().collect()} == now() and pending(store) == []
 
 
 def test_structures(spark):
