@@ -17,7 +17,7 @@ START = "▁"
 #: Half of the text that one chunk's dictionary is made of (or the rest of a partition); a chunk is what one task holds of texts.
 CHUNK_BYTES = 16 << 20
 #: Rounds of expectation-maximization over the distinct training words, and the weight, in pieces, of the vocabulary's own scores.
-ROUNDS = 3
+ROUNDS = 2
 PRIOR_PIECES = 500.0
 #: Taken off each training word's count, as a piece of its own, and given to the vocabulary's pieces, to spell words.
 DISCOUNT = 0.65
@@ -37,6 +37,11 @@ class Pieces:
         out: dict[str, float | None] = {p[:k]: None for p in self.piece for k in range(1, len(p))}
         return out | dict(self.piece)
 
+    @cached_property
+    def chances(self) -> dict[str, float]:
+        """As ``begun``, with probabilities: 0 for a beginning that is no piece."""
+        return {p: 0.0 if x is None else math.exp(x) for p, x in self.begun.items()}
+
     def edges(self, word: str) -> tuple[int, list[tuple[int, int, str, float]]]:
         """The length of the marked word and its lattice (from, to, piece, log probability), by ``from``."""
         s, begun = START + word, self.begun
@@ -80,8 +85,47 @@ def _forward(n: int, edges: list) -> list[float]:
     return a
 
 
+#: Below this the product of a word's probabilities is left to logarithms.
+LEAST = 1e-250
+
+
 def expected(pieces: Pieces, word: str, count: float, into: dict[str, float], bytes_into: list[float]) -> None:
-    """Adds ``count`` times the expected use of each piece in the word's segmentations: forward, then backward."""
+    """Adds ``count`` times the expected use of each piece in the word's segmentations: forward, then backward; by plain products where the word's probability is no less than LEAST."""
+    s, chances = START + word, pieces.chances
+    n, edges = len(s), []
+    a = [1.0] + [0.0] * n
+    for i in range(n):
+        here, single = a[i], False
+        for j in range(i + 1, n + 1):
+            part = s[i:j]
+            p = chances.get(part)
+            if p is None:
+                break
+            if p:
+                a[j] += here * p
+                edges.append((i, j, part, p))
+                single = single or j == i + 1
+        if not single:
+            p = math.exp(sum(pieces.byte[b] for b in s[i].encode("utf-8", "surrogatepass")))
+            a[i + 1] += here * p
+            edges.append((i, i + 1, "", p))
+    total = a[n]
+    if total < LEAST:
+        _expected_by_logs(pieces, word, count, into, bytes_into)
+        return
+    b = [0.0] * n + [count / total]
+    for i, j, piece, p in reversed(edges):
+        rest = p * b[j]
+        b[i] += rest
+        use = a[i] * rest
+        if piece:
+            into[piece] = into.get(piece, 0.0) + use
+        else:
+            for byte in s[i].encode("utf-8", "surrogatepass"):
+                bytes_into[byte] += use
+
+
+def _expected_by_logs(pieces: Pieces, word: str, count: float, into: dict[str, float], bytes_into: list[float]) -> None:
     n, edges = pieces.edges(word)
     a = _forward(n, edges)
     exp, log1p, total = math.exp, math.log1p, a[n]

@@ -51,6 +51,17 @@ def test_expected_counts_spell_each_word():
     assert sum(len(p) * n for p, n in into.items()) + in_bytes[ord("x")] == pytest.approx(3.0 * len("▁abxab"))
 
 
+@pytest.mark.parametrize("word", ["", "a", "abba", "xéab", "aabbab" * 5])
+def test_products_and_logarithms_expect_the_same(word):
+    one, other = ({}, [0.0] * 256), ({}, [0.0] * 256)
+    lm.expected(toy(), word, 2.0, *one)
+    lm._expected_by_logs(toy(), word, 2.0, *other)
+    assert one[0] == pytest.approx(other[0]) and one[1] == pytest.approx(other[1])
+    into, in_bytes = {}, [0.0] * 256
+    lm.expected(toy(), "ab" * 5000, 1.0, into, in_bytes)
+    assert sum(len(p) * n for p, n in into.items()) == pytest.approx(10_001.0)
+
+
 def test_very_long_words_and_a_real_vocabulary():
     weight, byte = lm.vocabulary(lm.vocabulary_path())
     pieces = lm._model(weight, byte, 1.0)
