@@ -17,7 +17,7 @@ from .plans import query as q
 from .plans.schema import Field, Schema
 from .sources.infer import infer, typed
 from .sources.readers import Registry, default_registry
-from .sources.store import Store
+from .sources.store import Files, Store
 
 
 @dataclass
@@ -191,24 +191,68 @@ def deployment(rows: int, low_memory: bool = False, target: int | None = None) -
 
 @dataclass(frozen=True)
 class Scheme:
-    """Names partitions ``<base>-wiNN-YYYYMM-facNN`` by group, month and a third key."""
+    """Names partitions ``<base>-wiNN-YYYYMM-facNN`` by group, month and a third key.
+
+    Without ``groups`` (0) each group is a part of its own; without ``months``, or ``thirds`` (0), names and folders do without these.
+    """
 
     base: str = "records"
     groups: int = 16
     thirds: int = 16
+    months: bool = True
 
     def name(self, group: int, date_key: str, third: int = 0) -> str:
-        return f"{self.base}-wi{group % self.groups:02d}-{date_key[:4]}{date_key[5:7]}-fac{third % self.thirds:02d}"
+        parts = [self.base or "lookup"]
+        if self.groups:
+            parts.append(f"wi{group % self.groups:02d}")
+        elif group > 0:
+            parts.append(f"wi{group}")
+        if self.months and len(date_key) >= 7:
+            parts.append(date_key[:4] + date_key[5:7])
+        if self.thirds:
+            parts.append(f"fac{third % self.thirds:02d}")
+        return "-".join(parts)
 
     def columns(self, group: Column, date_key: Column, third: Column) -> dict[str, Column]:
         """Columns to partition a table by, so that filters on them skip folders."""
-        return {"wi": F.pmod(group.cast("int"), F.lit(self.groups)), "month": F.concat(F.substring(date_key, 1, 4), F.substring(date_key, 6, 2)), "fac": F.pmod(third.cast("int"), F.lit(self.thirds))}
+        made = {"wi": F.pmod(group.cast("int"), F.lit(self.groups)) if self.groups else group.cast("int")}
+        if self.months:
+            made["month"] = F.concat(F.substring(date_key, 1, 4), F.substring(date_key, 6, 2))
+        if self.thirds:
+            made["fac"] = F.pmod(third.cast("int"), F.lit(self.thirds))
+        return made
 
     def prune(self, df: DataFrame, group: int | None = None, date_key: str | None = None) -> DataFrame:
         """The part of a table so partitioned in which matches may lie."""
         if group is not None:
-            df = df.filter(F.col("wi") == group % self.groups)
-        return df if date_key is None else df.filter(F.col("month") == date_key[:4] + date_key[5:7])
+            df = df.filter(F.col("wi") == (group % self.groups if self.groups else group))
+        return df if date_key is None or not self.months else df.filter(F.col("month") == date_key[:4] + date_key[5:7])
+
+
+@dataclass
+class Dataset:
+    """A partitioned table's manifest: its scheme, and the rows of each partition, by the values of the partition columns."""
+
+    scheme: Scheme
+    partitions: list[dict]
+
+    @staticmethod
+    def of(scheme: Scheme, df: DataFrame) -> Dataset:
+        """Counted by one aggregation; a row for each partition comes to the driver."""
+        keys = [k for k in ("wi", "month", "fac") if k in df.columns]
+        rows = df.groupBy(*keys).agg(F.count("*").alias("rows")).orderBy(*keys).collect()
+        return Dataset(scheme, [r.asDict() for r in rows])
+
+    def save(self, spark: SparkSession, root: str, name: str = "dataset.json") -> None:
+        Files(spark, root).write(name, json.dumps({"scheme": vars(self.scheme), "partitions": self.partitions}))
+
+    @staticmethod
+    def load(spark: SparkSession, root: str, name: str = "dataset.json") -> Dataset:
+        text = Files(spark, root).read(name)
+        if text is None:
+            raise FileNotFoundError(f"no {name} below {root}")
+        got = json.loads(text)
+        return Dataset(Scheme(**got["scheme"]), got["partitions"])
 
 
 def route(known: set[str], scheme: Scheme, group: int, date_key: str, third: int = 0) -> str:

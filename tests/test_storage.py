@@ -156,6 +156,20 @@ def test_partitions(spark):
     assert cat.route({"base-wi02-202603-fac01"}, scheme, 18, "2026-03-09", 17) != "base" == cat.route(set(), scheme, 18, "2026-03-09")
 
 
+def test_schemes_and_their_manifests(spark, tmp_path):
+    assert cat.Scheme("b", 0, 0, False).name(18, "2026-03-09", 17) == "b-wi18" and cat.Scheme("", 4, 0).name(5, "soon") == "lookup-wi01"
+    rows = readers.records(spark, 400).selectExpr("id", "CAST(group_id AS INT) AS g", "date_key")
+    scheme = cat.Scheme("b", 4, 0)
+    made = rows.withColumns(scheme.columns(F.col("g"), F.col("date_key"), F.col("g")))
+    assert made.columns == ["id", "g", "date_key", "wi", "month"]
+    cat.Dataset.of(scheme, made).save(spark, str(tmp_path))
+    got = cat.Dataset.load(spark, str(tmp_path))
+    assert got.scheme == scheme and got.partitions == [{"wi": k, "month": "202601", "rows": 100} for k in range(4)]
+    assert scheme.prune(made, 7, "2026-01-30").count() == 100
+    with pytest.raises(FileNotFoundError):
+        cat.Dataset.load(spark, str(tmp_path), "none.json")
+
+
 def test_catalog_swaps_restores_and_tasks(spark, tmp_path):
     made, schema = cat.Catalog(spark, str(tmp_path)), Schema((Field("v"),))
     df = spark.createDataFrame([("1", "a")], "id string, v string")
