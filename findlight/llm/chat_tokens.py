@@ -57,7 +57,8 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None, part_ids:
     escaped and encoded by themselves, so their tokens don't depend on what stands beside them. Masks cover
     the texts of assistants: positions, as prefix sums of segment lengths over the conversation, from
     (inclusive) and to (exclusive). A conversation over ``part_ids`` ids goes on in further parts, cut between
-    turns, so that no row holds a very long one whole; parts follow one another in a partition.
+    turns, so that no row holds a very long one whole; parts follow one another in a partition. The turns of one
+    conversation stream through one task, as each position depends on those before.
 
     Rows go by turn (null first), then by role and text, so repeated turns stay and reruns agree; a null role or
     text is empty; rows of a null conv_id are one conversation; no rows give none; other columns don't matter.

@@ -38,7 +38,8 @@ def section_tokens(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang",
 
     A document is its fields, joined by line feeds, encoded in one piece. Sections are its fields, but each line
     of ``split_field`` is one by itself (its line feed belongs to it); they part the document without gaps, and
-    their spans are in characters of it. A null field is empty and has a section of no characters, or of its
+    their spans are given in characters of it; tokens are laid over them by bytes, of which a character may have
+    several tokens. A null field is empty and has a section of no characters, or of its
     joint. Rows that repeat an id have sections of their own; an empty table gives no rows.
     """
     path = tokenizer or tokenizer_path()
