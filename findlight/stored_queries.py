@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .catalog import Catalog, Scheme, deployment
 from .functions import vectors
-from .operators import layout, mutations
+from .operators import layout, mutations, postings
 from .operators.search import Collection, Request
 from .plans import parsers
 from .plans import query as q
@@ -287,3 +287,16 @@ def empty_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT vec_id, len(embedding) = 64 AS ok FROM embeddings")
 def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select("vec_id", vectors.valid(F.col("embedding"), 64).alias("ok"))
+
+
+_BM25_SQL = f"""WITH d AS (SELECT doc_id, {_DOC_TOKENS} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), x AS (SELECT doc_id, len(t) AS dl, unnest(t) AS tok FROM d),
+c AS (SELECT doc_id, dl, tok, count(*) AS tf FROM x WHERE tok IN ('from', 'with') GROUP BY ALL), f AS (SELECT tok, count(*) AS df FROM c GROUP BY 1)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) AS score FROM c JOIN f USING (tok), n GROUP BY 1 HAVING count(*) = 2"""
+
+
+@_query(_BM25_SQL)
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking by stored token tables."""
+    df, path = _table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark)
+    postings.save(df, of_frame(df, "doc_id", text=("text",)), path)
+    return postings.bm25(spark, path, ("from", "with")).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))

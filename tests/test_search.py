@@ -229,3 +229,16 @@ def test_signatures_find_nine_in_ten_neighbours(spark):
         hit += len(want & {r.vec_id for r in vector.coded_top_k(coded, "vec_id", "embedding", probe.embedding, 10, candidates=150).collect()})
     coded.unpersist()
     assert len(probes) == 20 and coded.count() == 2000 and hit >= 0.9 * 200
+
+
+def test_stored_tokens_rank_as_searches_do(spark, tmp_path):
+    from findlight.operators import postings
+
+    rows = [(1, "oak elm oak", "elm"), (2, "elm", "Oak"), (3, None, "oak"), (4, "oak " * 9 + "elm", None), (5, "", "")]
+    df = spark.createDataFrame(rows, "id int, body string, tag string")
+    schema = Schema((Field("body", "text", lookup=False), Field("tag")))
+    postings.save(df, schema, str(tmp_path))
+    for words in (("oak",), ("oak", "elm"), ("oak", "oak"), ("none",)):
+        want = {r.id: r.score for r in Collection(df, schema).search(Request(q.GlobalTerm(words))).hits.collect()}
+        assert {r.id: r.score for r in postings.bm25(spark, str(tmp_path), words).collect()} == pytest.approx(want)
+    assert [r.id for r in postings.bm25(spark, str(tmp_path), ("oak",), 1).collect()] == [max(want := {r.id: r.score for r in postings.bm25(spark, str(tmp_path), ("oak",)).collect()}, key=want.get)]
