@@ -8,38 +8,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Words of 63 bits in a block of a Bloom filter (8 KB): a key's bits all lie in one block, so a look-up meets one row.
+BLOCK_WORDS = 1024
+#: Bits of a filter up to which its blocks are broadcast (64 MB). Those of a larger one are joined by a shuffle.
+BROADCAST_BITS = 1 << 29
+
+
 class Bloom:
     """A filter of ``bits`` bits and ``hashes`` hashes, built by one aggregation; no false negatives.
 
-    Its words stay a table of one row, which is broadcast where the filter is used; the driver doesn't see them. Its
-    size is chosen by its maker, not by the rows: 10 bits an item for one false positive in a hundred.
+    Its blocks stay a table, a row each, which the driver doesn't see. Its size is chosen by its maker, not by the
+    rows: 10 bits an item for one false positive in a hundred.
     """
 
     def __init__(self, bits: int = 1024, hashes: int = 3, table: DataFrame | None = None):
         self.bits, self.hashes, self.table = bits, hashes, table
+        self.blocks = -(-bits // (63 * BLOCK_WORDS))
+        self.words = BLOCK_WORDS if self.blocks > 1 else -(-bits // 63)
 
     @staticmethod
     def sized(items: int, false_positives: float = 0.01) -> Bloom:
         bits = max(64, math.ceil(-items * math.log(false_positives) / math.log(2) ** 2))
         return Bloom(bits, max(1, round(bits / max(1, items) * math.log(2))))
 
+    def _block(self, c: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("block"), c), F.lit(self.blocks).cast("long"))
+
     def _places(self, c: Column) -> Column:
-        h1, h2 = F.xxhash64(c), F.xxhash64(F.lit("second"), c)
-        return F.array(*[F.pmod(h1 + F.shiftleft(F.pmod(h2, F.lit(1 << 40)), 1) * k, F.lit(self.bits)) for k in range(self.hashes)])
+        """A key's bits within its block. Each has a hash of its own: sums of two hashes repeat too soon in a block, and overflow."""
+        return F.array(*[F.pmod(F.xxhash64(F.lit(k), c), F.lit(63 * self.words).cast("long")) for k in range(self.hashes)])
 
     def of(self, df: DataFrame, column: str) -> Bloom:
         """With a column's values in it; nulls aren't."""
-        places = df.select(F.explode_outer(F.when(F.col(column).isNotNull(), self._places(F.col(column)))).alias("p")).filter("p IS NOT NULL")
-        words = places.groupBy(F.floor(F.col("p") / 63).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 63 AS INT))")).alias("b"))
-        every = df.sparkSession.range(0, -(-self.bits // 63), 1, 1).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
-        whole = words.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
-        return Bloom(self.bits, self.hashes, whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("_bloom")))
+        c = F.col(column)
+        places = df.filter(c.isNotNull()).select(self._block(c).alias("k"), F.explode_outer(self._places(c)).alias("p"))
+        set_bits = places.groupBy((F.col("k") * self.words + F.expr("p div 63")).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 63 AS INT))")).alias("b"))
+        every = df.sparkSession.range(self.blocks * self.words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+        whole = set_bits.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+        blocks = whole.groupBy(F.expr(f"w div {self.words}").alias("_block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("_bloom"))
+        return Bloom(self.bits, self.hashes, blocks)
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
         """The rows of ``df`` whose value may be in the filter: all that are, and few others."""
         bit = lambda p: F.get("_bloom", F.floor(p / 63).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(63)).cast("int"))) != 0
-        # One row on the right.
-        return df.crossJoin(F.broadcast(self.table)).filter(F.col(column).isNotNull() & F.forall(self._places(F.col(column)), bit)).drop("_bloom")
+        c = df[column]
+        table = F.broadcast(self.table) if self.bits <= BROADCAST_BITS else self.table
+        return df.join(table, c.isNotNull() & (self._block(c) == F.col("_block")) & F.forall(self._places(c), bit)).drop("_block", "_bloom")
 
 
 def stable_shard(id: Column, n: int) -> Column:

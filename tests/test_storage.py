@@ -305,3 +305,19 @@ def test_a_database_is_read_over_jdbc(spark):
     assert sorted(r.ID for r in opened.collect()) == [i for i in range(100) if i % 7 == 3]
     parts = readers.jdbc(spark, url, table="GOODS", predicates=["ID < 50", "ID >= 50"], **drive)
     assert parts.count() == 100 and parts.rdd.getNumPartitions() == 2
+
+
+def test_a_bloom_filter_takes_any_hash(spark):
+    """Many keys: some of their hashes lie near the ends of the longs, where sums overflow. Several blocks, and no key twice."""
+    df = spark.range(0, 3_000_000)
+    bloom = structures.Bloom.sized(20_000, 1e-9).of(df.filter("id % 150 = 3"), "id")
+    assert bloom.blocks > 1 and bloom.table.count() == bloom.blocks
+    kept = bloom.keep(df.unionByName(spark.createDataFrame([(None,)], "id long")), "id").agg(F.count("*"), F.count_if(F.col("id") % 150 == 3)).first()
+    assert tuple(kept) == (20_000, 20_000)
+
+
+def test_a_large_bloom_filter_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(structures, "BROADCAST_BITS", 0)
+    df = spark.range(0, 2000)
+    kept = structures.Bloom.sized(1000, 1e-6).of(df.filter("id < 1000"), "id").keep(df, "id")
+    assert "NestedLoop" not in kept._jdf.queryExecution().toString() and sorted(r.id for r in kept.collect()) == list(range(1000))
