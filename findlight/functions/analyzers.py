@@ -51,17 +51,20 @@ def nepali(c: Column) -> Column:
     return standard(F.translate(c, *NEPALI))
 
 
-def cjk(c: Column) -> Column:
-    """Each character but blanks, tabs and line ends, lowered, and after it the pair with the very next character if that is none of these either."""
-    blank = lambda x: x.isin(*CJK_BLANKS)
+def cjk_places(c: Column) -> Column:
+    """Each character but blanks, tabs and line ends, lowered, together with the very next one if that is none of these either: one string a place."""
+    here = f"[^{''.join(CJK_BLANKS)}]"
+    return F.regexp_extract_all(F.lower(c), F.lit(f"(?=({here}{here}?)){here}"), F.lit(1))
+
 
-    def pairs(x: Column) -> Column:
-        after = lambda i: F.coalesce(F.get(x, i + 1), F.lit(" "))
-        made = F.transform(x, lambda ch, i: F.when(blank(ch), F.array().cast("array<string>")).when(blank(after(i)), F.array(ch)).otherwise(F.array(ch, F.concat(ch, after(i)))))
-        return F.flatten(made)
+def cjk_tokens(place: Column) -> Column:
+    """The tokens of one of ``cjk_places``: its character, and the pair if it is one."""
+    return F.when(F.length(place) == 1, F.array(place)).otherwise(F.array(F.substring(place, 1, 1), place))
 
-    chars = F.array_remove(F.split(F.lower(c), ""), "")
-    return F.get(F.transform(F.array(chars), pairs), F.lit(0))
+
+def cjk(c: Column) -> Column:
+    """Each character but blanks, tabs and line ends, lowered, and after it the pair with the very next character if that is none of these either."""
+    return F.flatten(F.transform(cjk_places(c), cjk_tokens))
 
 
 def grams(c: Column, least: int, most: int) -> Column:

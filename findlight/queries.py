@@ -239,11 +239,19 @@ _analyzer("standard", analyzers.standard, TOKENS)
 _analyzer("stop", analyzers.stop, f"list_filter({TOKENS}, lambda t: t NOT IN ('a', 'an', 'the', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'is', 'are', 'was', 'were'))")
 _analyzer("stem", analyzers.stem, f"list_transform({TOKENS}, lambda t: {_STEM})")
 _analyzer("nepali", analyzers.nepali, TOKENS)
-_analyzer("cjk", analyzers.cjk, TOKENS)
+
+
+def _cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places are counted before they are parted into tokens: these are twice as many, and there are few different places."""
+    places = _dealt(_table(spark, sf_dir, "documents"), "doc_id").select(F.explode_outer(analyzers.cjk_places(F.col("text"))).alias("place"))
+    counted = places.filter("place IS NOT NULL").groupBy("place").agg(F.count("*").alias("n"))
+    return counted.select(F.explode_outer(analyzers.cjk_tokens(F.col("place"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+
+
 # Each character but four blanks, and each two that stand side by side and are none of these.
-SQL["analyzer_cjk"] = """WITH d AS (SELECT replace(replace(replace(lower(text), chr(9), ' '), chr(10), ' '), chr(13), ' ') AS t FROM documents),
+_register("analyzer_cjk", _cjk, """WITH d AS (SELECT replace(replace(replace(lower(text), chr(9), ' '), chr(10), ' '), chr(13), ' ') AS t FROM documents),
 k AS (SELECT unnest(string_split(t, '')) AS token FROM d UNION ALL SELECT unnest(list_transform(range(1, length(t)), lambda i: t[i:i + 1])) FROM d)
-SELECT token, count(*) AS n FROM k WHERE token <> '' AND NOT contains(token, ' ') GROUP BY 1"""
+SELECT token, count(*) AS n FROM k WHERE token <> '' AND NOT contains(token, ' ') GROUP BY 1""")
 
 
 def _nepali(spark: SparkSession, sf_dir: str) -> DataFrame:

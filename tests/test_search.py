@@ -242,3 +242,22 @@ def test_stored_tokens_rank_as_searches_do(spark, tmp_path):
         want = {r.id: r.score for r in Collection(df, schema).search(Request(q.GlobalTerm(words))).hits.collect()}
         assert {r.id: r.score for r in postings.bm25(spark, str(tmp_path), words).collect()} == pytest.approx(want)
     assert [r.id for r in postings.bm25(spark, str(tmp_path), ("oak",), 1).collect()] == [max(want := {r.id: r.score for r in postings.bm25(spark, str(tmp_path), ("oak",)).collect()}, key=want.get)]
+
+
+def test_cjk_places_hold_what_the_analyzer_gives(spark):
+    """One string a place, by one regular expression: half as many as tokens. Blanks, line ends and characters beyond 16 bits."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from findlight.functions import analyzers
+
+    texts = ["ab c", "", None, "\U0001d49c\U0001f600 日本\t語\r\n", "　X", "É b", "a" * 50_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    rows = df.select("t", analyzers.cjk(F.col("t")).alias("all"), analyzers.cjk_places(F.col("t")).alias("places")).collect()
+    want = {t: None if t is None else analyzers.literal_tokens(t, "cjk") for t in texts}
+    assert {r.t: r.all for r in rows} == want
+    for r in rows:
+        assert r.t is None or len(r.places) == len([c for c in r.t if c not in analyzers.CJK_BLANKS])
+    placed = df.select(F.explode(analyzers.cjk_places(F.col("t"))).alias("p"))
+    assert Counter(x for r in placed.select(analyzers.cjk_tokens(F.col("p")).alias("x")).collect() for x in r.x) == Counter(x for w in want.values() for x in w or ())
