@@ -26,6 +26,12 @@ def normalized(df: DataFrame, schema: Schema, *names: str) -> tuple[DataFrame, S
     return df.withColumns(made), replace(schema, fields=tuple(fields))
 
 
+def dealt(df: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose columns cost more to look at than to move, dealt to all cores where the files have fewer parts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, id_col) if df.rdd.getNumPartitions() < cores else df
+
+
 def write(df: DataFrame, path: str, sort_by: tuple[str, ...] = (), bloom: tuple[str, ...] = (), partition_by: tuple[str, ...] = (), files: int | None = None) -> None:
     """Parquet by ranges of ``sort_by``, so that row groups hold narrow ranges, with Bloom filters on columns that are looked up."""
     if sort_by:

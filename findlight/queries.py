@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import stored_queries
 from .functions import analyzers, normalize, structures, vectors
 from .operators import mutations, vector
+from .operators.layout import dealt
 from .operators.search import Collection, Request, Sort, union_shards
 from .plans import parsers
 from .plans import query as q
@@ -35,14 +36,8 @@ def _register(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
-def _dealt(df: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose columns cost more to look at than to move, dealt to all cores where the files have fewer parts."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, id_col) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> Collection:
-    df = _dealt(_table(spark, sf_dir, "documents"), "doc_id")
+    df = dealt(_table(spark, sf_dir, "documents"), "doc_id")
     return Collection(df, of_frame(df, "doc_id", text=("text",)))
 
 
@@ -231,7 +226,7 @@ _register("dequantize", lambda s, d: _table(s, d, "embeddings").select("vec_id",
 
 # Analyzers: how often each token occurs.
 def _analyzer(name: str, query: Callable[[object], object], tokens: str) -> None:
-    _register(f"analyzer_{name}", lambda s, d: _dealt(_table(s, d, "documents"), "doc_id").select(F.explode_outer(query(F.col("text"))).alias("token")).filter("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n")), f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens}) AS token FROM documents) GROUP BY 1")
+    _register(f"analyzer_{name}", lambda s, d: dealt(_table(s, d, "documents"), "doc_id").select(F.explode_outer(query(F.col("text"))).alias("token")).filter("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n")), f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens}) AS token FROM documents) GROUP BY 1")
 
 
 _STEM = "CASE " + " ".join(f"WHEN ends_with(t, '{x}') AND strlen(t) > {len(x) + 2} THEN t[:length(t) - {len(x)}]" + (" || 'y'" if x == "ies" else "") for x in analyzers.SUFFIXES) + " ELSE t END"
@@ -243,7 +238,7 @@ _analyzer("nepali", analyzers.nepali, TOKENS)
 
 def _cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places are counted before they are parted into tokens: these are twice as many, and there are few different places."""
-    places = _dealt(_table(spark, sf_dir, "documents"), "doc_id").select(F.explode_outer(analyzers.cjk_places(F.col("text"))).alias("place"))
+    places = dealt(_table(spark, sf_dir, "documents"), "doc_id").select(F.explode_outer(analyzers.cjk_places(F.col("text"))).alias("place"))
     counted = places.filter("place IS NOT NULL").groupBy("place").agg(F.count("*").alias("n"))
     return counted.select(F.explode_outer(analyzers.cjk_tokens(F.col("place"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
 

@@ -261,3 +261,20 @@ def test_cjk_places_hold_what_the_analyzer_gives(spark):
         assert r.t is None or len(r.places) == len([c for c in r.t if c not in analyzers.CJK_BLANKS])
     placed = df.select(F.explode(analyzers.cjk_places(F.col("t"))).alias("p"))
     assert Counter(x for r in placed.select(analyzers.cjk_tokens(F.col("p")).alias("x")).collect() for x in r.x) == Counter(x for w in want.values() for x in w or ())
+
+
+def test_token_lists_are_made_slice_by_slice(spark):
+    """Whatever is counted at once, no occurrence is lost; nulls have no tokens, and nothing is shuffled for it."""
+    from pyspark.sql import functions as F
+
+    from findlight.operators import postings
+
+    rows = [(f"r{i}", None if i % 7 == 0 else [f"t{k % (i % 5 + 1)}" for k in range(i % 11)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, t array<string>").coalesce(1)
+    want = sorted((t, i, ts.count(t), len(ts)) for i, ts in rows if ts for t in set(ts))
+    for at_once in (1, 13, 10_000):
+        made = postings.lists(df, at_once)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        got = made.select("token", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("token", "p.*").collect()
+        assert sorted(map(tuple, got)) == want
+    assert made.count() == made.select("token").distinct().count() == 5
