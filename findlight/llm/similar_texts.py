@@ -6,8 +6,10 @@ these, and no pair is missed. (A list by byte positions of fingerprints can't pr
 byte is equal with a chance of 0.27 only.) The order puts shingles last that a sample shows to be frequent, which
 keeps lists short.
 
-The work goes from what is cheap to what is left. First each text is compared with two texts, the hubs, of the lists
-under its least shingle hashes; these links, each verified, unite nearly all of a large group without pairing it.
+The work goes from what is cheap to what is left. First comes the inverted index of byte positions of the fingerprints,
+with count filtering: each text is compared with two texts, the hubs, of the lists under three of its fingerprint's bytes
+at once and under its least shingle hashes, if enough bytes of the two are equal; these links, each verified, unite nearly
+all of a large group without pairing it. What the index misses, the lists by shingles find.
 Then only lists whose texts aren't united yet are searched by fingerprints, and what these connect is searched
 shingle by shingle. Both searches look from each text reached at those not reached yet, and only across what isn't
 united, so all links count, and only a forest of them is returned.
@@ -31,6 +33,10 @@ BYTES, MORE_BITS = 32, 29
 FEW, FEW_BITS = 16, 12
 #: One text of so many is sampled for frequent shingles: those in as many sampled texts, and so many of them at most. They decide the order of shingles only.
 SAMPLED, FREQUENT, FREQUENT_MOST = 64, 8, 100_000
+#: Byte positions of a fingerprint whose values together are a key of the inverted index. Any two positions meet in few keys.
+KEYS = tuple((k, (k + 11) % BYTES, (k + 18) % BYTES) for k in range(0, BYTES, 2))
+#: Equal bytes up from which a pair of the index is counted shingle by shingle (8.5 of 32 are expected at similarity 0.8, 0.1 of unrelated texts), and hubs that a text is compared with at most, those of most equal bytes. The lists by shingles see to the rest.
+LEAST_BYTES, HUBS = 4, 8
 #: Shingles up to which what fingerprints connect is searched at once. More are parted, and each two parts are searched together.
 AT_ONCE = 1_000_000
 #: Texts up to which a list is searched at once; a longer one is parted likewise.
@@ -176,15 +182,35 @@ def _may_be_alike(a: str, b: str, similarity: float) -> Column:
     return (bits <= most_bits(similarity) + few) & (F.least(*sizes) >= similarity * F.greatest(*sizes) - 1e-9)
 
 
-def _hub_links(docs: DataFrame, texts: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """``(u, v)``: verified links of texts with the hubs of their lists under least shingle hashes: the text with the fewest rare shingles, and the first."""
+def _posting_keys(prints: tuple[str, ...] = PRINT[:4]) -> Column:
+    """The keys under which a fingerprint is listed: which three positions, and the bytes there."""
+    from .simhash_dedup import _byte
+
+    return F.array(*[F.xxhash64(F.lit(n), *[_byte(F.col(prints[p // 8]), p % 8) for p in at]) for n, at in enumerate(KEYS)])
+
+
+def _shared_bytes(a: str, b: str) -> Column:
+    """The tally of byte positions at which the fingerprints of two structs of PRINT agree."""
+    from .simhash_dedup import _shared_bytes
+
+    return sum((_shared_bytes(F.col(f"{a}.{f}"), F.col(f"{b}.{f}")) for f in PRINT[:4]), F.lit(0))
+
+
+def _index_links(docs: DataFrame, texts: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``(u, v)``: verified links of texts with the hubs of their lists: the text with the fewest rare shingles, and the first.
+
+    Lists are by byte positions of fingerprints and by least shingle hashes; the equal bytes of each pair are tallied,
+    and only pairs with enough of them are verified.
+    """
     member = F.struct("node", *PRINT)
-    listed = texts.select(member.alias("m"), "rare", F.explode("least").alias("key"))
-    hubs = listed.groupBy("key").agg(F.min(F.struct("rare", F.col("m.node").alias("node"), "m")).alias("centre"), F.min("m").alias("first"), F.count("*").alias("n"))
-    hubs = cut(hubs.filter("n > 1").select(F.col("key").alias("_key"), F.array_distinct(F.array("centre.m", "first")).alias("hubs")))
+    listed = texts.select("node", "rare", member.alias("m"), F.explode_outer(F.concat("least", _posting_keys())).alias("key"))
+    firsts = listed.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("centre"), F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    named = firsts.select(F.col("key").alias("_key"), F.explode_outer(F.array_distinct(F.array("centre.node", "first"))).alias("_hub"))
+    hubs = cut(named.join(texts.select(F.col("node").alias("_hub"), member.alias("hub")), "_hub").groupBy("_key").agg(F.collect_list("hub").alias("hubs")))
     pairs = beside(listed.select("m", "key"), hubs, F.col("key") == F.col("_key")).select("m", F.explode("hubs").alias("hub"))
-    pairs = pairs.filter((F.col("m.node") != F.col("hub.node")) & _may_be_alike("m", "hub", similarity))
-    pairs = cut(pairs.select(F.col("hub.node").alias("u"), F.col("m.node").alias("v")).distinct())
+    pairs = pairs.filter((F.col("m.node") != F.col("hub.node")) & _may_be_alike("m", "hub", similarity)).withColumn("shared", _shared_bytes("m", "hub"))
+    best = pairs.filter(F.col("shared") >= LEAST_BYTES).groupBy(F.col("m.node").alias("v")).agg(F.collect_set(F.struct("shared", F.col("hub.node").alias("u"))).alias("hubs"))
+    pairs = cut(best.select(F.explode_outer(F.slice(F.sort_array("hubs", False), 1, HUBS)).alias("h"), "v").select("h.u", "v"))
     sets = cut(_shingles(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), text_col, words))
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     common = F.size(F.array_intersect("a", "b"))
@@ -329,7 +355,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = cut(_sketches(docs, "doc_id", "text", words, similarity))
     texts = cut(rows.drop("doc_id").withColumnRenamed("text_hash", "node").dropDuplicates(["node"]))
-    united = components(_hub_links(docs, texts, "text", words, similarity))
+    united = components(_index_links(docs, texts, "text", words, similarity))
     texts = texts.drop("least", "rare")
     texts = cut(beside(texts, united.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node"))
     groups = components(_coarse(texts, similarity, list_at_once)).select(F.col("node").alias("_root"), F.col("root").alias("group"))

@@ -140,3 +140,20 @@ def test_forest_goes_across_labels_only():
 
     assert st.forest(label, near) == [(7, 3)]
     assert all(len(set(label[rest]) & {label[x]}) == 0 for x, rest in seen)
+
+
+def test_the_byte_index_links_what_it_lists_and_no_other(spark, monkeypatch):
+    """Close copies are united by the inverted index of byte positions alone, each link verified; a tally out of reach unites none."""
+    from pyspark.sql import functions as F
+
+    made, _, far = texts()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(made)], DOC).select("doc_id", "text")
+    sketched = st._sketches(docs, "doc_id", "text", 5, 0.8).withColumnRenamed("text_hash", "node")
+    by_bytes = sketched.withColumn("least", F.array().cast("array<long>"))
+    node = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    pairs = [(a, b) for a, b in zip(made[::2], made[1::2], strict=True) if jaccard(a, b) >= 0.93]
+    found = {frozenset((r.u, r.v)) for r in st._index_links(docs, by_bytes, "text", 5, 0.8).collect()}
+    assert sum(frozenset((node[a], node[b])) in found for a, b in pairs) >= 0.9 * len(pairs) > 0
+    assert not any(frozenset((node[a], node[b])) in found for a, b in far)
+    monkeypatch.setattr(st, "LEAST_BYTES", 33)
+    assert st._index_links(docs, by_bytes, "text", 5, 0.8).collect() == []
